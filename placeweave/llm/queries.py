@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placeweave.llm.common import table
+from placeweave.llm.common import fresh_path, table
 from placeweave.llm.token_counts import token_counts
+from placeweave.llm.token_ids import read_digests, write_ids
 
 
 def vocabulary(name: str) -> str:
@@ -18,8 +19,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-ids")
+    write_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), path, end_id=2)
+    return read_digests(spark, path)
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op4_token_ids": op4_token_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {}
