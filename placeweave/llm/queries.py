@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave.llm.common import fresh_path, table
+from placeweave.llm.language import held_out, identify, train_on_documents
 from placeweave.llm.token_counts import token_counts
 from placeweave.llm.token_ids import read_digests, write_ids
 from placeweave.llm.topk import exact_top_k, integer_vectors
@@ -31,6 +32,12 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(integer_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, train_on_documents(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_words", F.size("spans").alias("n_spans"))
+
+
 OP8_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -52,6 +59,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_token_ids": op4_token_ids,
     "op8_exact_top_k": op8_exact_top_k,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
