@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave.llm.common import fresh_path, table
+from placeweave.llm.html_text import main_text
 from placeweave.llm.language import held_out, identify, train_on_documents
 from placeweave.llm.token_counts import token_counts
 from placeweave.llm.token_ids import read_digests, write_ids
@@ -32,6 +33,10 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(integer_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, train_on_documents(docs))
@@ -58,6 +63,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_token_ids": op4_token_ids,
+    "op5_html_text": op5_html_text,
     "op8_exact_top_k": op8_exact_top_k,
     "op10_language_id": op10_language_id,
 }
