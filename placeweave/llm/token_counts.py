@@ -205,21 +205,28 @@ class PrefixCounter:
         return sum(map(self.total, self.pieces.findall(tail + more)))
 
     def cut(self, text: str, budget: int) -> int:
-        """Characters of the longest piece-aligned prefix of at most `budget` tokens, then extended inside its piece."""
+        """Characters of the longest prefix of at most `budget` tokens, with pieces split as in the whole text."""
         n = at = 0
         for part, special in self.segments(text):
-            for piece in [part] if special else self.pieces.findall(part):
-                more = 1 if special else self.total(piece)
+            for run in [part] if special else self.runs.findall(part):
+                more = 1 if special else self.run_total(run)
                 if n + more > budget:
-                    if special:
-                        return at
-                    counts, b, fits = self.piece_counts(piece.encode("utf-8", "surrogatepass")), 0, 0
-                    for i, c in enumerate(piece, 1):
-                        b += len(c.encode("utf-8", "surrogatepass"))
-                        fits = i if n + counts[b] <= budget else fits
-                    return at + fits
+                    return at if special else at + self._fit(run, budget - n)
                 n += more
-                at += len(piece)
+                at += len(run)
+        return at
+
+    def _fit(self, run: str, budget: int) -> int:
+        """Characters of a match of RUNS that fit."""
+        at = 0
+        for piece in self.pieces.findall(run):
+            counts, b, fits = self.piece_counts(piece.encode("utf-8", "surrogatepass")), 0, 0
+            for i, c in enumerate(piece, 1):
+                b += len(c.encode("utf-8", "surrogatepass"))
+                fits = i if counts[b] <= budget else fits
+            if fits < len(piece):
+                return at + fits
+            at, budget = at + len(piece), budget - counts[-1]
         return at
 
 
