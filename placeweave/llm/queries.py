@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from placeweave.llm.common import fresh_path, table
 from placeweave.llm.html_text import main_text
 from placeweave.llm.language import held_out, identify, train_on_documents
+from placeweave.llm.licenses import licence_report, report_sql
+from placeweave.llm.line_dedup import LINE_REPORT_SQL, line_report
 from placeweave.llm.token_counts import token_counts
 from placeweave.llm.token_ids import read_digests, write_ids
 from placeweave.llm.topk import exact_top_k, integer_vectors
@@ -19,6 +21,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -37,6 +43,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_report(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, train_on_documents(docs))
@@ -61,13 +71,17 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_token_ids": op4_token_ids,
     "op5_html_text": op5_html_text,
+    "op7_license_scan": op7_license_scan,
     "op8_exact_top_k": op8_exact_top_k,
     "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": LINE_REPORT_SQL,
+    "op7_license_scan": report_sql(),
     "op8_exact_top_k": OP8_SQL,
 }
