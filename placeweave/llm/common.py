@@ -50,6 +50,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.ones(256, dtype=bool)
 _WORD[list(SPACES)] = False
+#: Bytes of words when punctuation separates as well: ASCII letters and digits, and all that is not ASCII.
+PLAIN = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Odd multipliers of the places in a shingle.
@@ -91,14 +93,13 @@ def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int
         i = j
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, the first word of each row (and one more entry), and the words' first bytes."""
+def words_of(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, A-Z in lower case, the first word of each row (and one more entry), and the words' first bytes."""
     n = len(data)
     if not n:
         return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64), np.empty(0, np.int64)
-    if lower:
-        data = _LOWER[data]
-    word = _WORD[data]
+    data = _LOWER[data]
+    word = letters[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)
@@ -136,8 +137,8 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             if b - a >= k:
                 yield first + r, np.unique(grams[a : b - k + 1])
             elif b > a:
-                short = np.uint64(b - a) * np.uint64(0x8CB92BA72F3D8DD7) + (words[a:b] * _PLACES[: b - a]).sum(dtype=np.uint64)
-                yield first + r, mix(np.array([short], np.uint64))
+                short = np.array([b - a], np.uint64) * np.uint64(0x8CB92BA72F3D8DD7) + (words[a:b] * _PLACES[: b - a]).sum(dtype=np.uint64)
+                yield first + r, mix(short)
             else:
                 yield first + r, np.empty(0, np.uint64)
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave.llm.common import fresh_path, table
+from placeweave.llm.decontaminate import leaks
 from placeweave.llm.html_text import main_text
+from placeweave.llm.jaccard_join import jaccard_classes
 from placeweave.llm.language import held_out, identify, train_on_documents
 from placeweave.llm.licenses import licence_report, report_sql
 from placeweave.llm.line_dedup import LINE_REPORT_SQL, line_report
@@ -25,6 +27,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "end_word")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -43,6 +50,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_report(table(spark, sf_dir, "documents"))
 
@@ -72,9 +83,11 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op3_token_counts": op3_token_counts,
     "op4_token_ids": op4_token_ids,
     "op5_html_text": op5_html_text,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_license_scan": op7_license_scan,
     "op8_exact_top_k": op8_exact_top_k,
     "op10_language_id": op10_language_id,
