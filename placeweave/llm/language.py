@@ -205,6 +205,32 @@ def train(docs: DataFrame, text: Column, lang: Column, usable: Column, key: Colu
 UNKNOWN = "und"
 
 
+def predictions(data: np.ndarray, offsets: np.ndarray, model: Model, switch: float, with_spans: bool) -> list[tuple[str, float, int, list[dict]]]:
+    """(language, score, words, spans) of each row of a chunk."""
+    languages = model.languages
+    folded = fold(data)
+    starts, ends = spans_of(folded, offsets)
+    at = np.searchsorted(starts, offsets)
+    letters = np.concatenate([[0], np.cumsum((folded >= 97) & (folded < 123))])
+    scores = model.word_scores(folded, starts, ends) if len(starts) and languages else None
+    out: list[tuple[str, float, int, list[dict]]] = []
+    for r in range(len(offsets) - 1):
+        a, b = int(at[r]), int(at[r + 1])
+        no_ascii = letters[offsets[r + 1]] == letters[offsets[r]]
+        if scores is None or a == b or no_ascii and not any(c.isalpha() for c in bytes(data[offsets[r] : offsets[r + 1]]).decode("utf-8", "replace")):
+            out.append((UNKNOWN, 0.0, 0, []))
+            continue
+        found = labels_of(scores[a:b], switch)
+        count = np.bincount(found, minlength=len(languages))
+        top = int(count.argmax())
+        spans = []
+        if with_spans:
+            turns = np.concatenate([[0], np.flatnonzero(np.diff(found)) + 1, [b - a]])
+            spans = [{"first": int(i), "end": int(j), "lang": languages[found[i]]} for i, j in zip(turns[:-1], turns[1:], strict=True)]
+        out.append((languages[top], float(count[top] / (b - a)), b - a, spans))
+    return out
+
+
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH, with_spans: bool = True) -> DataFrame:
     """Language of every row of docs(doc_id, text, ...): (doc_id, lang_pred, score, n_words, spans).
 
@@ -214,38 +240,38 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, with_spans:
     that is null or has no letter is `und` with score 0 and no spans. Rows with null or repeated ids keep their own row;
     other columns are ignored; whole texts are read. With a model that knows no language all rows are `und`.
     """
-    languages = model.languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in text_chunks(batch.column(1)):
-                n = len(offsets) - 1
-                names, score, words, spans = [UNKNOWN] * n, [0.0] * n, [0] * n, [[] for _ in range(n)]
-                folded = fold(data)
-                starts, ends = spans_of(folded, offsets)
-                at = np.searchsorted(starts, offsets)
-                letters = np.concatenate([[0], np.cumsum((folded >= 97) & (folded < 123))])
-                if len(starts) and languages:
-                    scores = model.word_scores(folded, starts, ends)
-                    for r in range(n):
-                        a, b = at[r], at[r + 1]
-                        if a == b or letters[offsets[r + 1]] == letters[offsets[r]] and not any(c.isalpha() for c in bytes(data[offsets[r] : offsets[r + 1]]).decode("utf-8", "replace")):
-                            continue
-                        found = labels_of(scores[a:b], switch)
-                        count = np.bincount(found, minlength=len(languages))
-                        top = int(count.argmax())
-                        names[r], score[r], words[r] = languages[top], count[top] / (b - a), int(b - a)
-                        if with_spans:
-                            turns = np.concatenate([[0], np.flatnonzero(np.diff(found)) + 1, [b - a]])
-                            spans[r] = [{"first": int(i), "end": int(j), "lang": languages[found[i]]} for i, j in zip(turns[:-1], turns[1:], strict=True)]
+                names, score, words, spans = zip(*predictions(data, offsets, model, switch, with_spans), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(names), pa.array(score, pa.float64()), pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))],
+                    [batch.column(0).slice(first, len(names)), pa.array(names), pa.array(score, pa.float64()), pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))],
                     ["doc_id", "lang_pred", "score", "n_words", "spans"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_words long, spans array<struct<first: long, end: long, lang: string>>")
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, switch: float = SWITCH) -> DataFrame:
+    """docs without the rows that are `und` or of which no language has the share `least` of the words; `lang` becomes the prediction.
+
+    Columns and their names stay; `lang` must be one of them.
+    """
+    names = docs.columns
+    text, lang = names.index("text"), names.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in text_chunks(batch.column(text)):
+                found = [(name, score) for name, score, _, _ in predictions(data, offsets, model, switch, False)]
+                keep = [name != UNKNOWN and score >= least for name, score in found]
+                part = batch.slice(first, len(found))
+                yield part.set_column(lang, part.schema.field(lang), pa.array([name for name, _ in found], part.schema.field(lang).type)).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from training: crc32 of its id as text, modulo 4, is 2. A null id is not."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

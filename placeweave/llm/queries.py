@@ -12,6 +12,7 @@ from placeweave.llm.jaccard_join import jaccard_classes
 from placeweave.llm.language import held_out, identify, train_on_documents
 from placeweave.llm.licenses import licence_report, report_sql
 from placeweave.llm.line_dedup import LINE_REPORT_SQL, line_report
+from placeweave.llm.pieces import piece_report
 from placeweave.llm.token_counts import token_counts
 from placeweave.llm.token_ids import read_digests, write_ids
 from placeweave.llm.topk import exact_top_k, integer_vectors
@@ -58,6 +59,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_report(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_report(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, train_on_documents(docs))
@@ -90,6 +95,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_license_scan": op7_license_scan,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
 }
 

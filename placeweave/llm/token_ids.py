@@ -86,9 +86,12 @@ class WordEncoder:
         self.flat = np.concatenate([self.flat, *(np.array(x, np.uint32) for x in ids)])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids])])
 
+    def split(self, text: str) -> list[str]:
+        return self.words.findall(text)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each ended by end_id; ids of each text)."""
-        split = [self.words.findall(t) for t in texts]
+        split = [self.split(t) for t in texts]
         if len(self.index) > CACHE:
             self.reset()
         new = {w for words in split for w in words if w not in self.index}
