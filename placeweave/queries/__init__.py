@@ -1,4 +1,6 @@
 """Registered queries of the place engine, by name, and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from placeweave.queries import scores
+
+QUERIES = {**scores.QUERIES}
+ORACLE_SQL = {**scores.ORACLE_SQL}
