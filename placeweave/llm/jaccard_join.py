@@ -3,9 +3,10 @@
 1. Every text becomes its set of shingle hashes. A sketch of fixed size counts the shingles of all texts; a set is
    ordered by (count, hash), rare ones first. A pair at the threshold shares one of its first n - ceil(t n) + 1 shingles.
 2. Texts with equal prefixes and sizes form a group; prefixes are compared between groups only.
-3. Groups that share a prefix shingle are chained through the smallest group of that shingle, so a common shingle gives
-   as many rows as it has groups, not as many as it has pairs; connected chains hold all candidate pairs.
-4. Chains are expanded to their distinct sets and verified exactly, in blocks of bounded size against each other, inside
+3. Groups that share a prefix shingle of up to SMALL groups become pairs, which sizes, places in the prefixes and bitmaps of
+   the sets filter. Those of a more common shingle are chained through its smallest group, so it gives as many rows as it
+   has groups, not as many as it has pairs. Connected pairs and chains hold all candidates.
+4. These are expanded to their distinct sets and verified exactly, in blocks of bounded size against each other, inside
    tasks: what leaves a task is a number of links and a root for each member, never a list of pairs.
 """
 
@@ -22,7 +23,11 @@ from pyspark.sql import functions as F
 from placeweave.llm.common import connected_components, cut, fresh_path, mix, shingle_sets, skew_join
 
 #: Counters of the sketch of shingle counts, and the pieces in which its parts are added up.
-SKETCH, PIECES = 1 << 18, 64
+SKETCH, PIECES = 1 << 20, 64
+#: Groups of a shingle that are paired one by one.
+SMALL = 32
+#: Bits of a set's bitmap, a multiple of 64.
+BITS = 2048
 #: Sets of a block; a task holds two blocks.
 BLOCK = 256
 
@@ -60,18 +65,18 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
-    """(doc_id, n, f, g, p, q, prefix): size, fingerprints of the set and of the prefix, and the prefix, of each row."""
+    """(doc_id, n, f, g, p, q, prefix, bitmap): size, fingerprints of the set and of the prefix, the prefix, and which slots of a bitmap the set's hashes fall into, of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, n, prints, lists = [], [], [], []
+            at, n, prints, lists, maps = [], [], [], [], []
 
             def out() -> pa.RecordBatch:
                 f = np.array(prints, np.uint64).astype(np.int64).reshape(-1, 4)
                 ids = batch.column(0).take(pa.array(at, pa.int64()))
                 lengths = np.cumsum([0, *map(len, lists)])
                 prefix = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(lists).astype(np.int64) if lists else [], pa.int64()))
-                return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array(f[:, i], pa.int64()) for i in range(4)), prefix], ["doc_id", "n", "f", "g", "p", "q", "prefix"])
+                return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array(f[:, i], pa.int64()) for i in range(4)), prefix, pa.array(maps, pa.list_(pa.int64()))], ["doc_id", "n", "f", "g", "p", "q", "prefix", "bitmap"])
 
             for row, s in shingle_sets(batch.column(1), k):
                 head = s[np.lexsort((s, counts[s & np.uint64(SKETCH - 1)]))[: prefix_length(len(s), num, den)]] if len(s) else s
@@ -80,13 +85,16 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray) ->
                 n.append(len(s))
                 prints.append((s.sum(dtype=np.uint64), second(s), head.sum(dtype=np.uint64), second(head)))
                 lists.append(head)
+                bits = np.zeros(BITS, bool)
+                bits[(s >> np.uint64(40)) & np.uint64(BITS - 1)] = True
+                maps.append(np.packbits(bits).view(np.int64))
                 if len(at) >= 512:
                     yield out()
-                    at, n, prints, lists = [], [], [], []
+                    at, n, prints, lists, maps = [], [], [], [], []
             if at:
                 yield out()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f long, g long, p long, q long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f long, g long, p long, q long, prefix array<long>, bitmap array<long>")
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -163,11 +171,25 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     rows = spark.read.parquet(path)
     graph = rows.where("n > 0 AND doc_id IS NOT NULL")
     sets = graph.groupBy("f", "g", "n", "p", "q").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    groups = graph.groupBy("n", "p", "q").agg(F.min("doc_id").alias("gid"), F.any_value("prefix").alias("prefix"))
-
-    entries = groups.select("gid", F.explode("prefix").alias("shingle"))
-    hubs = entries.groupBy("shingle").agg(F.min("gid").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
-    chains = connected_components(skew_join(entries, hubs, "shingle").where("gid <> hub").select("gid", "hub").distinct(), "gid", "hub")
+    groups = graph.groupBy("n", "p", "q").agg(F.min("doc_id").alias("gid"), F.any_value("prefix").alias("prefix"), F.any_value("bitmap").alias("bitmap"), ((F.min("f") == F.max("f")) & (F.min("g") == F.max("g"))).alias("single"))
+
+    entries = groups.select("gid", "n", F.posexplode("prefix").alias("at", "shingle"))
+    hubs = entries.groupBy("shingle").agg(F.min("gid").alias("hub"), F.count("*").alias("m")).where("m > 1")
+    path = fresh_path(spark, "shared")
+    skew_join(entries, hubs, "shingle").select("shingle", "gid", "n", "at", "hub", "m").write.parquet(path)
+    shared = spark.read.parquet(path)
+    a = shared.where(F.col("m") <= SMALL).select("shingle", F.col("gid").alias("a"), F.col("n").alias("n1"), F.col("at").alias("i"))
+    b = a.select("shingle", F.col("a").alias("b"), F.col("n1").alias("n2"), F.col("i").alias("j"))
+    # shared shingles if this is the first one of both prefixes
+    most = 1 + F.least(F.col("n1") - F.col("i"), F.col("n2") - F.col("j")) - 1
+    similar = lambda overlap: (num + den) * overlap >= num * (F.col("n1") + F.col("n2"))
+    pairs = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("a") < F.col("b")) & similar(most)).select("a", "b", "n1", "n2").distinct()
+    map_of = lambda x: groups.select(F.col("gid").alias(x), F.col("bitmap").alias(f"{x}_map"), F.col("single").alias(f"{x}_single"))
+    mapped = pairs.join(map_of("a"), "a").join(map_of("b"), "b")
+    apart = F.aggregate(F.zip_with("a_map", "b_map", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    fits = ~(F.col("a_single") & F.col("b_single")) | similar(F.floor((F.col("n1") + F.col("n2") - apart) / 2))
+    chained = shared.where((F.col("m") > SMALL) & (F.col("gid") != F.col("hub"))).select(F.col("gid").alias("a"), F.col("hub").alias("b"))
+    chains = connected_components(mapped.where(fits).select("a", "b").union(chained))
 
     of_group = groups.select("n", "p", "q", "gid").join(chains.withColumnRenamed("node", "gid"), "gid", "left").select("n", "p", "q", F.coalesce("component", "gid").alias("chain"))
     members = sets.join(of_group, ["n", "p", "q"]).select(F.col("rep").alias("node"), "copies", "chain")
