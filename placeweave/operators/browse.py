@@ -105,7 +105,7 @@ def score_range(places: DataFrame) -> DataFrame:
 
 def facets(places: DataFrame, signals: DataFrame) -> DataFrame:
     """All facets as one table (facet, value, cnt), in one pass over places for the scalar ones."""
-    one = places.select(F.explode(F.array(F.struct(F.lit("category").alias("facet"), F.col("category").alias("value")), F.struct(F.lit("price"), F.col("price_tier").cast("string")), *())).alias("f"), "place_id").select("f.*")
+    one = places.select(F.explode(F.array(F.struct(F.lit("category").alias("facet"), F.col("category").alias("value")), F.struct(F.lit("price").alias("facet"), F.col("price_tier").cast("string").alias("value")))).alias("f")).select("f.*")
     tags = places.select(F.lit("tag").alias("facet"), F.explode("tags").alias("value"))
     sources = signals.join(places.select("place_id"), "place_id").select(F.lit("source").alias("facet"), F.col("source").alias("value"))
     return one.unionByName(tags).unionByName(sources).where(F.col("value").isNotNull()).groupBy("facet", "value").agg(F.count("*").alias("cnt"))

@@ -54,12 +54,15 @@ def phrase_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFr
 def phrase_matches(snippets: DataFrame, phrases: DataFrame) -> DataFrame:
     """(place_id, doc_id, tag, phrase, vetoes, hits) of snippets(place_id, doc_id, text): matches of whole words.
 
-    Words that begin a phrase are found by an equi-join of a snippet's distinct words, so no snippet meets all phrases.
-    Occurrences that a negator precedes do not count, but for vetoes, which state the denial themselves.
+    A snippet meets the phrases that begin with one of its words, by an equi-join on the first word. The vocabulary of
+    first words is small (a rule table's), so it is filtered for before that. Occurrences that a negator precedes do not
+    count, but for vetoes, which state the denial themselves.
     """
-    held = snippets.select("place_id", "doc_id", T.tokens(F.col("text")).alias("tokens"))
-    begun = held.withColumn("first", F.explode(F.array_distinct("tokens")))
-    pairs = begun.join(phrases, "first")
+    firsts = phrases.agg(F.collect_set("first").alias("firsts"))
+    # a generator's output is computed once a row; the first words are one row
+    held = snippets.select("place_id", "doc_id", F.explode(F.array(T.tokens(F.col("text")))).alias("tokens"))
+    begun = held.crossJoin(F.broadcast(firsts)).withColumn("first", F.explode(F.array_intersect("tokens", "firsts"))).drop("firsts")
+    pairs = begun.join(F.broadcast(phrases), "first")
     hits = F.when(F.col("vetoes"), F.size(T.phrase_starts(F.col("tokens"), F.col("words")))).otherwise(T.phrase_hits(F.col("tokens"), F.col("words")))
     return pairs.select("place_id", "doc_id", "tag", "phrase", "vetoes", hits.alias("hits")).where("hits > 0")
 

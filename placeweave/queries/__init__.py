@@ -1,6 +1,7 @@
 """Registered queries of the place engine, by name, and their oracle SQL."""
 
-from placeweave.queries import scores
+from placeweave.queries import places, scores, texts
 
-QUERIES = {**scores.QUERIES}
-ORACLE_SQL = {**scores.ORACLE_SQL}
+MODULES = (scores, places, texts)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}

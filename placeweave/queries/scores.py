@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from placeweave import views as V
 from placeweave.operators import scoring
 
-NOW = F.lit(V.NOW).cast("timestamp")
 ALL = (V.PLACES, V.SIGNALS, V.SCORES)
 
 
@@ -21,7 +20,7 @@ def source_distribution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.score_signals(V.signals(spark, sf), V.places(spark, sf), NOW)
+    return scoring.score_signals(V.signals(spark, sf), V.places(spark, sf), F.lit(V.NOW).cast("timestamp"))
 
 
 def signal_score(spark: SparkSession, sf: str) -> DataFrame:
