@@ -59,11 +59,15 @@ def earliest_open(hours: Column, weekday: Column, minute: Column) -> Column:
     return F.when(known.isNull(), minute).otherwise(F.greatest(F.try_element_at(later, F.lit(1))["open"], F.when(F.size(later) > 0, minute)))
 
 
+def _and(keep, day_of, i: int):
+    return lambda e: keep(e) & (day_of(e) == i)
+
+
 def _by_day(entries: Column, day_of, interval_of, keep) -> Column:
     """All seven days, each with the intervals of its entries."""
     pairs = []
     for i, name in enumerate(C.DAYS):
-        mine = F.filter(entries, lambda e, i=i: keep(e) & (day_of(e) == i))
+        mine = F.filter(entries, _and(keep, day_of, i))
         pairs += [F.lit(name), F.transform(mine, interval_of)]
     return F.when(entries.isNotNull(), F.create_map(*pairs))
 
@@ -130,9 +134,9 @@ def parse_text(text: Column) -> Column:
         ),
     )
     sound = F.filter(parsed, lambda x: x["first"].isNotNull() & x["last"].isNotNull())
-    # a range that wraps reaches through the week's end to the last day, and one day on
-    covers = lambda x, i: F.when(x["last"] >= x["first"], F.lit(i).between(x["first"], x["last"])).otherwise((F.lit(i) >= x["first"]) | (F.lit(i) <= x["last"]))
+    # a range that wraps reaches through the end of the week
+    on = lambda i: lambda x: F.when(x["last"] >= x["first"], F.lit(i).between(x["first"], x["last"])).otherwise((F.lit(i) >= x["first"]) | (F.lit(i) <= x["last"]))
     pairs = []
     for i, name in enumerate(C.DAYS):
-        pairs += [F.lit(name), F.transform(F.filter(sound, lambda x, i=i: covers(x, i)), lambda x: x["interval"])]
+        pairs += [F.lit(name), F.transform(F.filter(sound, on(i)), lambda x: x["interval"])]
     return F.when(F.size(sound) > 0, F.create_map(*pairs))

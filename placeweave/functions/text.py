@@ -182,6 +182,10 @@ LISTING_TYPES = (
 )
 
 
+def _contains(part: str):
+    return lambda t: t.contains(part)
+
+
 def category(types: Column, table: tuple[tuple[str, str], ...], primary: Column | None = None) -> Column:
     """The category of the first table row that is part of a type; the primary type is tried alone first."""
     out = None
@@ -191,6 +195,6 @@ def category(types: Column, table: tuple[tuple[str, str], ...], primary: Column
             out = F.when(hit, name) if out is None else out.when(hit, name)
     low = F.transform(types, F.lower)
     for part, name in table:
-        hit = F.exists(low, lambda t, part=part: t.contains(part))
+        hit = F.exists(low, _contains(part))
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("other")
