@@ -3,7 +3,7 @@
 A task explodes the distinct words of its texts into substrings of bounded length, equi-joins these to the piece table by
 hash and groups the edges found by word; a fold over each word's edges then picks the segmentation. The model at hand is a
 BPE model: its right segmentation is the one that merging by score reaches, which is not the path of the best score sum,
-so the fold merges. All words are folded together in columns. `fold_words` is the same over Spark rows.
+so the fold merges. All words are folded together in columns. `fold_words` is the same over Spark rows, for tables of words.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave.llm.common import mix
@@ -216,6 +216,38 @@ def encoder(model: str) -> PieceEncoder:
     return PieceEncoder(model)
 
 
+def piece_table(spark: SparkSession, model: str) -> DataFrame:
+    """(piece, id, rank): as many rows as the model has pieces; rank orders merges."""
+    rows = piece_rows(model)
+    ranks = {s: r for r, s in enumerate(sorted({s for _, _, s in rows}, reverse=True))}
+    return spark.createDataFrame([(p, i, ranks[s]) for p, i, s in rows], "piece string, id int, rank int")
+
+
+def fold_words(words: DataFrame, table: DataFrame, longest: int = 16) -> DataFrame:
+    """(word, pieces) of distinct words(word), each beginning with its mark of a space: the lattice in rows.
+
+    Words are exploded into substrings of at most `longest` characters, these joined to the piece table (of a fixed size),
+    the edges grouped by word, and a higher-order aggregate takes the best merge of two neighbours as often as there is one.
+    A null or empty word is left out; characters that are no piece stay as they are.
+    """
+    w = words.select("word").where("word <> ''").distinct()
+    n = F.length("word")
+    starts = w.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = starts.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s")))).alias("size"))
+    edges = spans.select("word", "s", (F.col("s") + F.col("size")).alias("t"), F.substring(F.col("word"), F.col("s") + 1, F.col("size")).alias("piece")).where("size > 1").join(F.broadcast(table), "piece")
+    grouped = edges.groupBy("word").agg(F.collect_list(F.struct("rank", "s", "t")).alias("edges"))
+    held = w.join(grouped, "word", "left").select("word", F.coalesce("edges", F.expr("CAST(array() AS array<struct<rank: int, s: int, t: int>>)")).alias("edges"))
+
+    def step(cuts: Column, _: Column) -> Column:
+        two = lambda e: F.array_contains(cuts, e["s"]) & F.array_contains(cuts, e["t"]) & (F.size(F.filter(cuts, lambda c: (c > e["s"]) & (c < e["t"]))) == 1)
+        best = F.array_min(F.filter("edges", two))
+        return F.when(best.isNull(), cuts).otherwise(F.filter(cuts, lambda c: (c <= best["s"]) | (c >= best["t"])))
+
+    cuts = F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
+    out = held.select("word", F.explode(F.array(cuts)).alias("cuts"))
+    return out.select("word", F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda i: F.substring(F.col("word"), F.element_at("cuts", i) + 1, F.element_at("cuts", i + 1) - F.element_at("cuts", i))).alias("pieces"))
+
+
 def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, ids) of every row of docs(doc_id, text, ...), without begin and end pieces.
 

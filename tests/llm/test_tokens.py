@@ -104,3 +104,13 @@ def test_words_folded_together_or_alone():
     words = sorted({pieces.SPACE * rng.randint(0, 3) + "".join(rng.choice("abehinst") for _ in range(rng.randint(0, 30))) for _ in range(300)} - {""})
     for w, ids in zip(words, e.fold(words), strict=True):
         assert ids.tolist() == e.merged(w).tolist()
+
+
+def test_lattice_in_rows(spark):
+    e, rng = pieces.encoder(PIECE), random.Random(8)
+    words = sorted({pieces.SPACE + "".join(rng.choice("aehinrstdlñ") for _ in range(rng.randint(0, 12))) for _ in range(60)})
+    df = spark.createDataFrame([(w,) for w in [*words, "", words[0]]] + [(None,)], "word string")
+    got = {r["word"]: r["pieces"] for r in pieces.fold_words(df, pieces.piece_table(spark, PIECE)).collect()}
+    assert set(got) == set(words)
+    for w, ids in zip(words, e.fold(words), strict=True):
+        assert [e.ids[p] for p in got[w]] == ids.tolist()
