@@ -179,11 +179,11 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     skew_join(entries, hubs, "shingle").select("shingle", "gid", "n", "at", "hub", "m").write.parquet(path)
     shared = spark.read.parquet(path)
     a = shared.where(F.col("m") <= SMALL).select("shingle", F.col("gid").alias("a"), F.col("n").alias("n1"), F.col("at").alias("i"))
-    b = a.select("shingle", F.col("a").alias("b"), F.col("n1").alias("n2"), F.col("i").alias("j"))
+    b = a.select(F.col("shingle").alias("other"), F.col("a").alias("b"), F.col("n1").alias("n2"), F.col("i").alias("j"))
     # shared shingles if this is the first one of both prefixes
     most = 1 + F.least(F.col("n1") - F.col("i"), F.col("n2") - F.col("j")) - 1
     similar = lambda overlap: (num + den) * overlap >= num * (F.col("n1") + F.col("n2"))
-    pairs = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("a") < F.col("b")) & similar(most)).select("a", "b", "n1", "n2").distinct()
+    pairs = a.join(b, (F.col("shingle") == F.col("other")) & (F.col("a") < F.col("b")) & similar(most)).select("a", "b", "n1", "n2").distinct()
     map_of = lambda x: groups.select(F.col("gid").alias(x), F.col("bitmap").alias(f"{x}_map"), F.col("single").alias(f"{x}_single"))
     mapped = pairs.join(map_of("a"), "a").join(map_of("b"), "b")
     apart = F.aggregate(F.zip_with("a_map", "b_map", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
