@@ -6,14 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.llm.common import PLAIN, cut, shingles_of, text_chunks, words_of
 
-#: Words of a seed; of so many neighbouring n-grams of an item the rarest is a seed, so any copied run of
-#: GRAM + NEIGHBOURS - 1 words holds one.
-GRAM, NEIGHBOURS = 3, 4
+#: Words of a seed. Every n-gram of an item is one, so any copied run of so many words holds one.
+GRAM = 3
 #: Alignment scores of equal and unequal words and of a gap, and the share of an item's best score that makes a leak.
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
@@ -112,22 +111,17 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, version, item_id, score, end_word) of every text and benchmark item that it holds a copy of, also an edited one.
 
-    Words are of letters and digits (ASCII punctuation separates), A-Z in lower case. Seeds are the item's n-grams that are
-    the rarest, by their count over all texts, of some NEIGHBOURS in a row; texts that share a seed are aligned with the
-    item around it, and score is the alignment's share of the item's best (1: verbatim); from `threshold` on it is a leak.
+    Words are of letters and digits (ASCII punctuation separates), A-Z in lower case. Seeds are all n-grams of an item, common
+    ones too; texts that share a seed are aligned with the item around it, as far as an alignment of `threshold` can reach,
+    unless the passage holds too few of the item's words for that. score is the alignment's share of the item's best
+    (1: verbatim); from `threshold` on it is a leak. A copy without any GRAM words in a row of the item has no seed.
     version is a hash of the text. Null and empty texts and items, items of fewer than GRAM words and items without an id
     have no leaks; a null or repeated doc_id is kept as it is, equal rows once each; ties keep the first place in the text.
     Other columns are ignored.
     """
     grams = cut(item_grams(items))
     hits = gram_hits(docs, gram_filter(grams))
-    counts = grams.select("gram").distinct().join(hits.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").select("gram", F.coalesce("n", F.lit(0)).alias("n"))
-    rare = F.min(F.struct("n", "gram", "item_pos"))
-    item = Window.partitionBy("item_id").orderBy("item_pos")
-    ahead = grams.join(counts, "gram").select("item_id", "item_pos", rare.over(item.rowsBetween(0, NEIGHBOURS - 1)).alias("s"), F.count("*").over(item.rowsBetween(0, NEIGHBOURS - 1)).alias("of"))
-    seeds = ahead.where((F.col("of") == NEIGHBOURS) | (F.col("item_pos") == 0)).select("item_id", "s.item_pos", "s.gram").distinct()
-    seeds = cut(seeds)
-    shift = hits.join(seeds, "gram").select("doc_id", "version", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    shift = hits.join(grams, "gram").select("doc_id", "version", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
     passages = shift.groupBy("doc_id", "version", "item_id").agg(F.collect_set("shift").alias("shifts"))
     wanted = passages.join(items.select("item_id", F.col("text").alias("item")).where("item_id IS NOT NULL AND item IS NOT NULL"), "item_id").select(F.col("doc_id").alias("id"), F.col("version").alias("of"), "item_id", "item", "shifts")
     texts = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
@@ -139,15 +133,19 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
                 part = batch.slice(at, 64)
                 ids, ends, scores = [], [], []
                 for (row, words), (_, item) in zip(_words(part.column(5)), _words(part.column(3)), strict=True):
-                    best, end, done = 0, 0, -1
-                    slack = len(item) // 2 + 1
+                    best, end, done = 0, 0, None
+                    # words that an alignment of the threshold can have besides the item's
+                    slack = int(MATCH * len(item) * max(0.0, 1 - threshold) / -GAP) + 1
                     for s in sorted(part.column(4)[row].as_py()):
-                        if s <= done:
+                        if done is not None and s <= done:
                             continue
                         # one window for all seeds that begin close together
                         done = s + slack
-                        low, high = max(0, s - slack), s + len(item) + 2 * slack
-                        found, to = align(words[low:high], item)
+                        low, high = max(0, s - slack), done + len(item) + slack
+                        window = words[low:high]
+                        if np.isin(item, window).sum() < threshold * len(item):
+                            continue
+                        found, to = align(window, item)
                         if found > best:
                             best, end = found, low + to
                     score = best / (MATCH * len(item)) if len(item) else 0.0

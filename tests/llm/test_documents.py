@@ -153,6 +153,34 @@ def test_leaks(spark):
     assert decontaminate.leaks(df, bench.limit(0)).count() == 0 and decontaminate.leaks(table(spark, []), bench).count() == 0
 
 
+def test_leaks_of_copies_edited_throughout(spark):
+    """Against the alignment of all pairs: a word in 4 to 6 replaced, words put in between, and a verbatim copy beside them."""
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(300)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(say(rng.randint(20, 50)))) for i in range(10)]
+    rows = [(999, "x " + items[0][1])]
+    for i in range(80):
+        w, every = items[i % 10][1].split(), 3 + i // 10 % 4
+        if i < 40:
+            w[every - 1 :: every] = [f"e{i}-{j}".replace("-", "x") for j in range(len(w[every - 1 :: every]))]
+        else:
+            w = [x for j, y in enumerate(w) for x in ([y, f"e{i}x{j}"] if j % every == every - 1 else [y])]
+        before = say(rng.randint(0, 150))
+        rows.append((i, " ".join(before + w + say(60))))
+    ids = {x: k for k, x in enumerate({x for _, t in rows + items for x in t.split()})}
+    number = lambda t: np.array([ids[x] for x in t.split()])
+    expected = {}
+    for d, t in rows:
+        for i, item in items:
+            score = decontaminate.align(number(t), number(item))[0] / (2 * len(item.split()))
+            three = {tuple(x) for x in np.lib.stride_tricks.sliding_window_view(number(item), 3).tolist()}
+            if score >= 0.5 and not three.isdisjoint(map(tuple, np.lib.stride_tricks.sliding_window_view(number(t), 3).tolist())):
+                expected[d, i] = score
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.leaks(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == expected and {(i, i % 10) for i in range(10, 80)} <= set(got)
+
+
 def test_alignment_against_a_table():
     rng = random.Random(1)
     for _ in range(60):
