@@ -17,8 +17,10 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul br".split()
 )
+#: Containers that are dropped, like marked ones, unless they hold the page's text: some servers put whole pages in one form.
+OPTIONAL = frozenset(("form",))
 #: Elements that never hold article text.
-DROPPED = frozenset("head script style noscript template iframe object embed svg canvas form button select option textarea input nav aside footer dialog menu title audio video map".split())
+DROPPED = frozenset("head script style noscript template iframe object embed svg canvas button select option textarea input nav aside footer dialog menu title audio video map".split())
 #: Words of class, id and role that mark what surrounds an article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar "
@@ -33,22 +35,25 @@ SCOPES = frozenset("table ul ol dl body html article section main div".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_NAMES = re.compile(r"[a-z]+")
+_NAMES = re.compile(r"[^\s\"']+")
+_PIECES = re.compile("[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "dropped", "doubtful", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.items, self.dropped = tag, parent, [], dropped
+        self.tag, self.parent, self.items, self.dropped, self.doubtful = tag, parent, [], dropped, False
         self.chars = self.link_chars = self.link_tags = 0
         self.tags, self.density, self.total = 1, 0.0, 0.0
 
 
 def _marked(tag: str, attributes: str) -> bool:
+    """Whether all pieces of some name in class, id or role are marks, as in cookie-banner or ad-1 but not in with-sidebar."""
     if not attributes or tag in ("body", "html", "article", "main"):
         return False
-    return any(not MARKS.isdisjoint(_NAMES.findall(m.group(1).lower())) for m in _ATTRIBUTE.finditer(attributes))
+    names = (_PIECES.findall(name) for m in _ATTRIBUTE.finditer(attributes) for name in _NAMES.findall(m.group(1).lower()))
+    return any(pieces and MARKS.issuperset(pieces) for pieces in names)
 
 
 def parse(page: str) -> Node:
@@ -91,8 +96,8 @@ def parse(page: str) -> Node:
             node = _implied_end(node, ENDS_OWN[tag], own=True)
         attributes = m.group(3) or ""
         inside_article = tag == "header" and _within(node, ("article", "main"))
-        dropped = tag in DROPPED or tag == "header" and not inside_article or _marked(tag, attributes)
-        child = _open(node, tag, dropped)
+        child = _open(node, tag, tag in DROPPED or tag == "header" and not inside_article)
+        child.doubtful = tag in OPTIONAL or _marked(tag, attributes)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
@@ -101,9 +106,38 @@ def parse(page: str) -> Node:
             child.dropped = True
             continue
         node = child
+    _drop_doubtful(body)
     return body
 
 
+def _drop_doubtful(body: Node) -> None:
+    """Drops marked nodes and forms, but for those that hold most of the page's text outside links.
+
+    Such a node goes too if an article or main with text is outside all of them: then it is a long list of comments or so.
+    """
+    order, stack = [], [(body, False)]
+    while stack:
+        node, link = stack.pop()
+        order.append((node, link))
+        stack += [(x, link or node.tag == "a") for x in node.items if isinstance(x, Node) and not x.dropped]
+    free: dict[Node, int] = {}
+    for node, link in reversed(order):
+        link = link or node.tag == "a"
+        free[node] = sum(free.get(x, 0) if isinstance(x, Node) else 0 if link else len("".join(x.split())) for x in node.items)
+    named = any(node.tag in ("article", "main") and free[node] and not _doubted(node) for node, _ in order)
+    for node, _ in order:
+        if node.doubtful:
+            node.dropped = named or 2 * free[node] <= free[body]
+
+
+def _doubted(node: Node | None) -> bool:
+    while node is not None:
+        if node.doubtful:
+            return True
+        node = node.parent
+    return False
+
+
 def _open(node: Node, tag: str, dropped: bool) -> Node:
     child = Node(tag, node, dropped)
     node.items.append(child)

@@ -209,6 +209,25 @@ def test_html(page, text):
     assert html_text.extract(page) == text
 
 
+def prose(seed, n=60):
+    rng = random.Random(seed)
+    return " ".join(rng.choice("stone river lamp under bright slow garden".split()) for _ in range(n))
+
+
+A, B, C, D, E = (f"<p>{prose(i)}</p>" for i in range(5))
+
+
+@pytest.mark.parametrize("around", ["<div class='content with-sidebar'>{}</div>", "<div class='site no-sidebar'>{}</div>", "<div id=menu-of-the-day>{}</div>", "<section class=related-work>{}</section>", "<form action=x><input name=y>{}</form>", "<form><div class=notice>{}</div></form>"])
+def test_html_names_do_not_drop_the_article(around):
+    page = f"<body><div class=ad>Buy now.</div>{around.format(A + B)}<div class='ad-1 wide'>Buy more.</div><form><p>Your mail</p></form></body>"
+    assert html_text.extract(page).split() == (prose(0) + " " + prose(1)).split()
+
+
+def test_html_long_comments_go():
+    page = f"<body><article>{A}</article><div class=comments>{B * 5}</div></body>"
+    assert html_text.extract(page) == prose(0)
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "x"), (1, None, None, "x"), (None, "v", "<p>" + "word " * 50_000 + "</p>", "x")], "page_id long, url string, html string, text string")
     got = sorted((repr(r["page_id"]), repr(r["url"]), r["n_chars"]) for r in html_text.main_text(pages).collect())
