@@ -21,6 +21,8 @@ BLOCKS = frozenset(
 OPTIONAL = frozenset(("form",))
 #: Elements that never hold article text.
 DROPPED = frozenset("head script style noscript template iframe object embed svg canvas button select option textarea input nav aside footer dialog menu title audio video map".split())
+#: Elements that an article consists of.
+CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre ul ol dl table figure details section li dt dd".split())
 #: Words of class, id and role that mark what surrounds an article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar "
@@ -197,11 +199,47 @@ def measure(body: Node) -> None:
         node.total += sum(len(t) for x in node.items if isinstance(x, str) and (t := "".join(x.split())))
 
 
+def _linked(node: Node) -> bool:
+    """Whether most of a subtree's text is links."""
+    return 2 * node.link_chars > node.chars
+
+
+def _has_content(node: Node) -> bool:
+    """Whether a subtree has paragraphs, headings, lists or the like and isn't mostly links."""
+    if not node.chars or _linked(node):
+        return False
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if x.tag in CONTENT or x.tag == "article":
+            return True
+        stack += [y for y in x.items if isinstance(y, Node) and not y.dropped]
+    return False
+
+
+def _container(best: Node) -> Node:
+    """The subtree that the article fills: the article or else the main around the densest one, else the nearest with more content.
+
+    More content is text or a subtree with content beside the one that leads to the densest. The body isn't lifted to.
+    """
+    near, main, came, node = None, None, best, best
+    while node is not None and node.parent is not None:
+        if node.tag == "article":
+            return node
+        if node.tag == "main":
+            main = main or node
+        if near is None and node is not best and any(x.strip() if isinstance(x, str) else x is not came and not x.dropped and _has_content(x) for x in node.items):
+            near = node
+        came, node = node, node.parent
+    return main or near or best
+
+
 def content(body: Node) -> list[Node]:
-    """The subtrees that hold the article: the one with the largest sum of densities, and others as dense as its path.
+    """The subtrees that hold the article: the container of the one with the largest sum of densities, and others off the path.
 
-    The threshold is the smallest density on the path from that subtree to the body. A subtree off the path counts if
-    it reaches the threshold and its own sum of densities isn't below that of the path's weakest node.
+    The threshold is the smallest density on the path from the container to the body. A subtree off the path counts if it
+    reaches the threshold. Articles, and if the container is no article or main also paragraphs, headings, lists and the like
+    right beside the path, count unless they are mostly links.
     """
     best, stack = body, [body]
     while stack:
@@ -209,28 +247,29 @@ def content(body: Node) -> list[Node]:
         if node.total > best.total:
             best = node
         stack += [x for x in reversed(node.items) if isinstance(x, Node) and not x.dropped]
-    # inside one block of prose there is nothing to choose
-    while best.parent is not None and (best.tag not in BLOCKS or best.tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")) and best.parent.chars and best.parent is not body:
-        best = best.parent
     if best is body:
         return [body]
+    best = _container(best)
+    # inside one block of prose there is nothing to choose
+    while best.parent is not None and (best.tag not in BLOCKS or best.tag in CONTENT - {"section"}) and best.parent.chars and best.parent is not body:
+        best = best.parent
     path, node = set(), best
     while node is not None:
         path.add(node)
         node = node.parent
-    threshold = min(x.density for x in path if x is not best) if len(path) > 1 else best.density
-    least = min(best.total, max(threshold, best.total / 4))
+    threshold = min(x.density for x in path if x is not best)
+    beside = {"article"} if best.tag in ("article", "main") else CONTENT | {"article"}
     out: list[Node] = []
 
     def walk(node: Node) -> None:
         for x in node.items:
-            if not isinstance(x, Node) or x.dropped:
+            if not isinstance(x, Node) or x.dropped or not x.chars:
                 continue
             if x is best:
                 out.append(x)
             elif x in path:
                 walk(x)
-            elif x.density >= threshold and x.total >= least and x.tag in BLOCKS:
+            elif x.tag in beside and not _linked(x) or x.density >= threshold and x.tag in BLOCKS:
                 out.append(x)
 
     walk(body)

@@ -215,6 +215,25 @@ def prose(seed, n=60):
 
 
 A, B, C, D, E = (f"<p>{prose(i)}</p>" for i in range(5))
+SHORT = f"<p>{prose(9, 5)}</p>"
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        f"<h1>T</h1><section>{A * 6}</section><section>{B * 2}</section><section>{C}</section>",
+        f"<h1>T</h1>{SHORT}<div>{A * 8}</div>",
+        f"<h1>T</h1>{A}{B}<blockquote>{C}{D}</blockquote>{E}",
+        f"<h1>T</h1>{A}{B}<ul>" + "".join(f"<li>{prose(20 + i, 40)}</li>" for i in range(12)) + "</ul>",
+        f"Some words first.<br>{SHORT}<div>{A * 8}</div>",
+        f"<div>{A * 6}</div><div>{B * 2}</div><div>{SHORT}</div>",
+    ],
+)
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "<div id=page><div class='content with-sidebar'>{}</div></div>"])
+def test_html_keeps_all_of_an_article(inner, around):
+    words = lambda x: re.sub("<[^>]*>", " ", x).split()
+    page = f"<body><nav><a href=a>Home</a></nav><div class=cookie-banner>We bake.</div>{around.format(inner)}<div><a href=b>More</a></div><footer>f</footer>"
+    assert html_text.extract(page).split() == words(inner)
 
 
 @pytest.mark.parametrize("around", ["<div class='content with-sidebar'>{}</div>", "<div class='site no-sidebar'>{}</div>", "<div id=menu-of-the-day>{}</div>", "<section class=related-work>{}</section>", "<form action=x><input name=y>{}</form>", "<form><div class=notice>{}</div></form>"])
