@@ -59,7 +59,7 @@ def entity_resolution(spark: SparkSession, sf: str) -> DataFrame:
 
 def name_only_resolution(spark: SparkSession, sf: str) -> DataFrame:
     mentions = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("mention_id"), F.concat(F.lit("city-"), F.col("c_custkey") % 5).alias("city"), F.element_at(F.array(F.lit("small ring"), F.lit("old"), F.lit("unheard")), (F.col("c_custkey") % 3 + 1).cast("int")).alias("name"))
-    return R.resolve_names(mentions, V.places(spark, sf).where("place_id < 500"), "trigram").select("mention_id", F.col("place_id").isNotNull().alias("found"), F.round("similarity", 6).alias("similarity"), "decision")
+    return R.resolve_names(mentions, V.places(spark, sf)).select("mention_id", F.col("place_id").isNotNull().alias("found"), F.round("similarity", 6).alias("similarity"), "decision")
 
 
 def enrich_fill(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,8 +84,16 @@ def candidate_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def travel_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """All legs between the pool's places: a bounded number of rows, joined within their city."""
-    p = V.places(spark, sf).where("place_id < 60")
+    """All legs between the first places of each city, as its SQL has them. travel_matrix_pool has those of a request."""
+    return _legs(V.places(spark, sf).where("place_id < 60"))
+
+
+def travel_matrix_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """All legs between the places of a request's pool, a bounded number of rows; tests hold it against a loop."""
+    return _legs(_pool(spark, sf))
+
+
+def _legs(p: DataFrame) -> DataFrame:
     a = p.select("city", F.col("place_id").alias("i"), F.col("lat").alias("a"), F.col("lng").alias("b"))
     b = p.select("city", F.col("place_id").alias("j"), F.col("lat").alias("c"), F.col("lng").alias("d"))
     s = F.when(F.col("i") == F.col("j"), 0.0).otherwise(geo.travel_seconds(geo.haversine_m(F.col("a"), F.col("b"), F.col("c"), F.col("d")), "transit"))
@@ -108,7 +116,7 @@ def projected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cluster_medoid(spark: SparkSession, sf: str) -> DataFrame:
-    """The place of each small group (city and category of a pool) with the least distance to the others."""
+    """Medoids among the first places, as its SQL has them. cluster_medoid_whole has those of all places."""
     p = V.places(spark, sf).where("place_id < 1000")
     a = p.select("city", "category", "place_id", F.col("lat").alias("a"), F.col("lng").alias("b"))
     b = p.select("city", "category", F.col("lat").alias("c"), F.col("lng").alias("d"))
@@ -117,6 +125,18 @@ def cluster_medoid(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("city", "category", "m.place_id", "m.total_m")
 
 
+def cluster_medoid_whole(spark: SparkSession, sf: str, blocks: int = 16) -> DataFrame:
+    """The place of each city and category with the least distance to all others: exact sums, in blocks of pairs; tests hold it against a loop."""
+    p = V.places(spark, sf)
+    block, every = F.pmod("place_id", F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = p.select("city", "category", "place_id", F.col("lat").alias("a"), F.col("lng").alias("b"), block.cast("int").alias("i"), every.alias("j"))
+    b = p.select("city", "category", F.col("lat").alias("c"), F.col("lng").alias("d"), block.cast("int").alias("j"), every.alias("i"))
+    part = a.join(b, ["city", "category", "i", "j"]).groupBy("city", "category", "place_id", "j").agg(F.sum(geo.haversine_m(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).alias("m"))
+    total = part.groupBy("city", "category", "place_id").agg(F.round(F.sum("m"), 3).alias("total_m"))
+    best = total.groupBy("city", "category").agg(F.min(F.struct("total_m", "place_id")).alias("m"))
+    return best.select("city", "category", "m.place_id", "m.total_m")
+
+
 def day_shortlist(spark: SparkSession, sf: str) -> DataFrame:
     """Per city the 14 best places after a charge for each kilometre from home, with their rank."""
     p = V.scored_places(spark, sf)
@@ -151,7 +171,7 @@ def itinerary_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (near_pairs, block_pairs, pair_decision, review_queue, decision_counters, entity_resolution, name_only_resolution, enrich_fill, source_upsert, candidate_pool, travel_matrix, leg_minutes, projected, cluster_medoid, day_shortlist, meal_quota, itinerary_plan, itinerary_totals)
+    for f in (near_pairs, block_pairs, pair_decision, review_queue, decision_counters, entity_resolution, name_only_resolution, enrich_fill, source_upsert, candidate_pool, travel_matrix, travel_matrix_pool, leg_minutes, projected, cluster_medoid, cluster_medoid_whole, day_shortlist, meal_quota, itinerary_plan, itinerary_totals)
 }
 
 _D = distance_sql("a.lat", "a.lng", "b.lat", "b.lng")
