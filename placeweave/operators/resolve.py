@@ -13,22 +13,30 @@ from placeweave.functions import text as T
 from placeweave.functions.geo import haversine_m, merge_confidence, merge_rule
 from placeweave.operators.graph import components, cut
 
-#: Records of geographic latitude above this need wider cells than the grid has.
-MAX_LATITUDE = 75.0
+#: Trigram similarity above which a place is a candidate for a mention without coordinates.
+NAME_CANDIDATES = 0.4
 
 
 def near_pairs(places: DataFrame, radius_m: float, id_column: str = "place_id") -> DataFrame:
     """(left_id, right_id, distance_m) of places of a city within a radius, left_id < right_id.
 
     An equi-join on grid cells of at least the radius: one side keeps its cell, the other is copied to the cells around, so
-    a pair meets once. places must have id, city, lat and lng; rows without coordinates or beyond MAX_LATITUDE drop out.
+    a pair meets once. Rows of cells go around the globe, with fewer and wider cells near the poles. places must have id,
+    city, lat and lng; rows without coordinates drop out.
     """
+    angle = radius_m / C.EARTH_RADIUS_M
     size = math.degrees(radius_m / C.EARTH_RADIUS_M)
-    wide = size / math.cos(math.radians(MAX_LATITUDE))
-    p = places.where(F.abs("lat") <= MAX_LATITUDE).select(F.col(id_column).alias("id"), "city", "lat", "lng", F.floor(F.col("lat") / size).alias("y"), F.floor(F.col("lng") / wide).alias("x"))
-    around = F.array(*(F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    left = p.select(F.col("id").alias("left_id"), "city", F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), "y", "x")
-    right = p.withColumn("c", F.explode(around)).select(F.col("id").alias("right_id"), "city", F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), (F.col("y") + F.col("c.dy")).alias("y"), (F.col("x") + F.col("c.dx")).alias("x"))
+
+    def cells(y: Column) -> Column:
+        """Cells in a row: each as wide as a radius can be in it and in the rows beside it."""
+        top = F.least(F.lit(90.0), (F.abs(y) + 2) * size)
+        return F.greatest(F.lit(1), F.floor(math.pi / F.asin(F.least(F.lit(1.0), math.sin(min(angle, math.pi) / 2) * 1.000001 / F.greatest(F.lit(1e-12), F.cos(F.radians(top)))))))
+
+    at = lambda y: F.floor((F.col("lng") + 180.0) / 360.0 * cells(y))
+    p = places.where(F.abs("lat") <= 90).select(F.col(id_column).alias("id"), "city", "lat", "lng", F.floor(F.col("lat") / size).alias("y"))
+    around = F.array_distinct(F.array(*(F.struct((F.col("y") + i).alias("y"), F.pmod(at(F.col("y") + i) + j, cells(F.col("y") + i)).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    left = p.select(F.col("id").alias("left_id"), "city", F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), "y", F.pmod(at(F.col("y")), cells(F.col("y"))).alias("x"))
+    right = p.withColumn("c", F.explode(around)).select(F.col("id").alias("right_id"), "city", F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), "c.y", "c.x")
     joined = left.join(right, ["city", "y", "x"]).where(F.col("left_id") < F.col("right_id"))
     return joined.withColumn("distance_m", haversine_m(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))).where(F.col("distance_m") <= radius_m).select("left_id", "right_id", "distance_m")
 
@@ -125,32 +133,48 @@ def counters(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("decision").agg(F.count("*").alias("cnt"))
 
 
+def _alike(mentions: DataFrame, places: DataFrame, least: float) -> DataFrame:
+    """(city, mkey, pkey) of mentions(city, mkey) and places(city, pkey) of a trigram similarity above `least`, by their rarest trigrams."""
+    grams = lambda df, key: df.withColumn("grams", T.trigrams(F.col(key))).select("city", key, F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    x, y = grams(mentions, "mkey"), grams(places, "pkey")
+    counts = y.groupBy("city", "gram").agg(F.count("*").alias("df"))
+
+    def prefix(df: DataFrame, key: str) -> DataFrame:
+        w = Window.partitionBy("city", key).orderBy(F.coalesce("df", F.lit(0)), "gram")
+        return df.join(counts, ["city", "gram"], "left").withColumn("at", F.row_number().over(w)).where(F.col("at") <= F.col("n") - F.floor(F.col("n") * least)).select("city", "gram", key)
+
+    pairs = prefix(x, "mkey").join(prefix(y, "pkey"), ["city", "gram"]).select("city", "mkey", "pkey").distinct()
+    return pairs.where(T.jaccard(T.trigrams(F.col("mkey")), T.trigrams(F.col("pkey"))) > least)
+
+
 def resolve_names(mentions: DataFrame, places: DataFrame, similarity: str = "fuzzy") -> DataFrame:
     """(mention_id, place_id, similarity, decision): mentions(mention_id, city, name) without coordinates joined to places.
 
     A mention joins the most similar place from NAME_ONLY_SIMILARITY on, else the only place whose distinctive words
-    contain its own, else it is dropped (place_id null). Candidates share the key or a word of the mention's key.
+    contain its own, else it is dropped (place_id null). Candidates share the key or a word of the mention's key, or have a
+    trigram similarity above NAME_CANDIDATES. Distinct keys are compared, not rows.
     """
     m = mentions.select("mention_id", "city", T.name_key(F.col("name")).alias("mkey")).withColumn("anchors", T.distinctive_tokens(F.col("mkey")))
-    p = places.select("place_id", "city", T.name_key(F.col("name")).alias("pkey")).withColumn("panchors", T.distinctive_tokens(F.col("pkey")))
+    p = places.select("place_id", "city", T.name_key(F.col("name")).alias("pkey")).groupBy("city", "pkey").agg(F.min("place_id").alias("place_id"), F.count("*").alias("cnt")).withColumn("panchors", T.distinctive_tokens(F.col("pkey")))
     words = lambda k: F.array_distinct(F.filter(F.split(k, " "), lambda w: w != ""))
-    a = m.where("mkey <> ''").withColumn("word", F.explode(words(F.col("mkey"))))
-    b = p.withColumn("word", F.explode(words(F.col("pkey"))))
-    pairs = a.join(b, ["city", "word"]).select("mention_id", "mkey", "anchors", "place_id", "pkey", "panchors").distinct()
+    one = m.where("mkey <> ''").select("city", "mkey").distinct()
+    shared = one.withColumn("word", F.explode(words(F.col("mkey")))).join(p.withColumn("word", F.explode(words(F.col("pkey")))), ["city", "word"]).select("city", "mkey", "pkey")
+    candidates = shared.union(_alike(one, p.select("city", "pkey"), NAME_CANDIDATES)).distinct()
+    pairs = candidates.withColumn("anchors", T.distinctive_tokens(F.col("mkey"))).join(p, ["city", "pkey"])
     if similarity == "fuzzy":
         known = pairs.select("mkey", "pkey").distinct().withColumn("sim", T.name_similarity("mkey", "pkey"))
         pairs = pairs.join(known, ["mkey", "pkey"])
     else:
         pairs = pairs.withColumn("sim", T.jaccard(T.trigrams(F.col("mkey")), T.trigrams(F.col("pkey"))))
     contained = (F.size("anchors") > 0) & (F.size(F.array_except("anchors", "panchors")) == 0)
-    best = pairs.groupBy("mention_id").agg(
+    best = pairs.groupBy("city", "mkey").agg(
         F.max_by(F.struct("place_id", "sim"), F.struct("sim", (-F.col("place_id")).alias("o"))).alias("best"),
-        F.count_if(contained).alias("n"),
+        F.sum(F.when(contained, F.col("cnt")).otherwise(0)).alias("n"),
         F.max(F.when(contained, F.struct("place_id", "sim"))).alias("only"),
     )
     near = F.col("best.sim") >= C.NAME_ONLY_SIMILARITY
     one = F.col("n") == 1
-    out = m.select("mention_id").join(best, "mention_id", "left")
+    out = m.select("mention_id", "city", "mkey").join(best, ["city", "mkey"], "left")
     return out.select(
         "mention_id",
         F.when(near, F.col("best.place_id")).when(one, F.col("only.place_id")).alias("place_id"),

@@ -138,6 +138,24 @@ def test_names_without_coordinates(spark):
     assert got == {1: 1, 2: 2, 3: None, 4: None, 5: 4, 6: None}
 
 
+def test_misspelt_names_without_coordinates(spark):
+    p = spark.createDataFrame([(1, "m", "Botin"), (2, "m", "Museo del Prado"), (7, "m", "Botin")], "place_id long, city string, name string")
+    m = spark.createDataFrame([(1, "m", "Botinn"), (2, "m", "Guernica"), (3, "m", "Botinn")], "mention_id long, city string, name string")
+    got = {r["mention_id"]: (r["place_id"], r["decision"]) for r in resolve.resolve_names(m, p).collect()}
+    assert got == {1: (1, "merged"), 2: (None, "dropped"), 3: (1, "merged")}
+
+
+def test_near_pairs_at_the_poles_and_the_date_line(spark):
+    rng = random.Random(4)
+    lat = [*(rng.choice([-1, 1]) * rng.uniform(89.995, 90) for _ in range(40)), *(80 + rng.uniform(0, 0.004) for _ in range(40)), *(rng.uniform(0, 0.004) for _ in range(40))]
+    lng = [*(rng.uniform(-180, 180) for _ in range(40)), *(20 + rng.uniform(0, 0.02) for _ in range(40)), *(rng.choice([-180 + rng.uniform(0, 0.002), 180 - rng.uniform(0, 0.002)]) for _ in range(40))]
+    records = [(i, "n", "m", a, b) for i, (a, b) in enumerate(zip(lat, lng, strict=True))]
+    df = spark.createDataFrame(records, "place_id long, name string, city string, lat double, lng double")
+    got = [(r["left_id"], r["right_id"]) for r in resolve.near_pairs(df, 150.0).collect()]
+    expected = {(a[0], b[0]) for a in records for b in records if a[0] < b[0] and metres(a, b) <= 150}
+    assert len(got) == len(set(got)) and set(got) == expected and {a // 40 for a, _ in expected} == {0, 1, 2}
+
+
 def test_fold_is_ordered(spark):
     rows = [(1, "reddit", i, s, u, 1, t, 1, dt.datetime(2026, 1, i + 1), url) for i, (s, u, t, url) in enumerate([(0.5, 10, 100, None), (-0.25, 3, 700, "u"), (0.125, None, 5, "v")])]
     schema = "place_id long, source string, seq int, sentiment double, upvotes long, mention_count long, thread_score long, review_count long, observed_at timestamp, url string"
