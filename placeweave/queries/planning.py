@@ -29,9 +29,15 @@ def _few(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def block_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Held to SQL: a smaller radius, a higher similarity and names of their own. block_pairs_whole is the whole job."""
     return R.block_pairs(_few(spark, sf), radius_m=120.0, least=0.62)
 
 
+def block_pairs_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocking with the operator's own radius and similarity over the places' real names; tests hold it against all pairs."""
+    return R.block_pairs(V.places(spark, sf))
+
+
 def _decided(spark: SparkSession, sf: str) -> DataFrame:
     places = V.places(spark, sf)
     pairs = R.with_keys(R.near_pairs(places, C.MERGE_RADIUS_M), places)
@@ -171,7 +177,7 @@ def itinerary_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (near_pairs, block_pairs, pair_decision, review_queue, decision_counters, entity_resolution, name_only_resolution, enrich_fill, source_upsert, candidate_pool, travel_matrix, travel_matrix_pool, leg_minutes, projected, cluster_medoid, cluster_medoid_whole, day_shortlist, meal_quota, itinerary_plan, itinerary_totals)
+    for f in (near_pairs, block_pairs, block_pairs_whole, pair_decision, review_queue, decision_counters, entity_resolution, name_only_resolution, enrich_fill, source_upsert, candidate_pool, travel_matrix, travel_matrix_pool, leg_minutes, projected, cluster_medoid, cluster_medoid_whole, day_shortlist, meal_quota, itinerary_plan, itinerary_totals)
 }
 
 _D = distance_sql("a.lat", "a.lng", "b.lat", "b.lng")

@@ -22,6 +22,14 @@ def records(spark, monkeypatch):
     return rows
 
 
+def test_block_pairs_whole(spark, records):
+    grams = {r[0]: {("  " + w + " ")[i : i + 3] for w in r[1].split() for i in range(len(w) + 1)} for r in records}
+    alike = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    expected = {(a[0], b[0]) for a in records for b in records if a[0] < b[0] and a[2] == b[2] and (metres(a, b) <= C.BLOCK_RADIUS_M or alike(a[0], b[0]) > 0.35)}
+    got = [(r["left_id"], r["right_id"]) for r in planning.block_pairs_whole(spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_cluster_medoid_whole(spark, records):
     groups = defaultdict(list)
     for r in records:
