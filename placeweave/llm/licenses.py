@@ -10,7 +10,29 @@ from pyspark.sql import functions as F
 #: Similarity from which a passage counts as a template.
 THRESHOLD = 0.8
 
-# Notices in common use, from the licences' public texts.
+# Notices in common use and short licences in full, from the licences' public texts.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_3 = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior "
+    "written permission. "
+)
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF '
+    "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT_WARRANTY = (
+    ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR '
+    "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
 TEMPLATES = (
     ("all-rights-reserved", "All rights reserved."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -45,7 +67,10 @@ TEMPLATES = (
         "or substantial portions of the Software.",
     ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("BSD-2-Clause", _BSD + _BSD_WARRANTY),
+    ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_WARRANTY),
 )
+TEMPLATES += (("MIT", next(t for n, t in TEMPLATES if n == "MIT" and len(t) > 100) + _MIT_WARRANTY),)
 
 
 def bag(text: str) -> list[str]:
@@ -55,6 +80,18 @@ def bag(text: str) -> list[str]:
     return [f"{p}#{pairs[: i + 1].count(p)}" for i, p in enumerate(pairs)]
 
 
+def _signs(known: list[tuple[str, list[str]]], threshold: float) -> list[str]:
+    """Words of which a unit that reaches the threshold for some template has one: without them too few of its bigrams are left."""
+    out: set[str] = set()
+    for _, b in known:
+        pairs = [p.split("#")[0].split() for p in b]
+        for word in sorted({w for p in pairs for w in p}, key=lambda w: (-len(w), w)):
+            if sum(out.isdisjoint(p) for p in pairs) < len(pairs) * threshold / (2 - threshold):
+                break
+            out.add(word)
+    return sorted(out)
+
+
 def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
@@ -64,33 +101,99 @@ def _computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with value computed once, inside of a higher-order function too."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _pairs(words: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat(F.element_at(words, i), F.lit(" "), F.element_at(words, i + 1)))
+
+
+def _numbered(pairs: Column) -> Column:
+    return F.transform(pairs, lambda x, i: F.concat(x, F.lit("#"), F.size(F.filter(F.slice(pairs, 1, i + 1), lambda y: y == x)).cast("string")))
+
+
+def _dice(words: Column, t: Column, threshold: float) -> Column:
+    """Dice of a unit of two words or more and a template; 0 where the distinct bigrams in common already rule the threshold out."""
+
+    def of(pairs: Column) -> Column:
+        both = t["n"] + F.size(pairs)
+        bound = F.size(F.array_intersect(t["pairs"], pairs)) + t["n"] - F.size(t["pairs"])
+        return F.when(2.0 * bound / both >= threshold, 2.0 * F.size(F.array_intersect(t["bag"], _numbered(pairs))) / both).otherwise(0.0)
+
+    return _let(_pairs(words), of)
+
+
+def _fits(n: Column, t: Column, threshold: float) -> Column:
+    """Whether so many bigrams allow the threshold."""
+    return (t["n"] * (2 - threshold) >= n * threshold) & (n * (2 - threshold) >= t["n"] * threshold)
+
+
+def _passages(texts: DataFrame, literal: Column, threshold: float) -> DataFrame:
+    """(doc_id, line, license, dice) of runs of consecutive lines, blank ones not counted, that are like a template.
+
+    Of runs that share a line the most similar counts, and only if none of its lines is as much like that template. The run of
+    all lines is the whole text, which is a unit of its own.
+    """
+    whole = F.concat(F.lit(" "), _normal(F.col("text")), F.lit(" "))
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), _normal(x).alias("unit")))
+    kept = _computed(_computed(texts, "whole", whole), "lines", F.filter(lines, lambda x: x["unit"] != "")).where(F.size("lines") > 1)
+    present = lambda t: F.size(F.filter(t["bag"], lambda p: F.contains(F.col("whole"), F.concat(F.lit(" "), F.substring_index(p, "#", 1), F.lit(" ")))))
+    near = _computed(kept, "near", F.filter(literal, lambda t: present(t) * (2 - threshold) >= t["n"] * threshold)).where(F.size("near") > 0)
+    near = _computed(near, "words", F.transform("lines", lambda x: F.split(x["unit"], " ")))
+    upto = F.aggregate("words", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.size(x))))
+    near = _computed(near, "upto", upto)
+    count = F.size("words")
+
+    def runs(t: Column) -> Column:
+        alone = F.transform("words", lambda w: F.when((F.size(w) > 1) & _fits(F.size(w) - 1, t, threshold), _dice(w, t, threshold)).otherwise(0.0))
+        last = lambda i: F.least(count, i + F.ceil(t["n"] * (2 - threshold) / threshold).cast("int") + 1)
+        size = lambda i, j: F.element_at("upto", j + 1) - F.element_at("upto", i) - 1
+        ends = lambda i: F.filter(F.sequence(i, last(i)), lambda j: (j > i) & _fits(size(i, j), t, threshold))
+        scored = lambda i, j: F.struct(i.alias("i"), j.alias("j"), t["license"].alias("license"), _dice(F.flatten(F.slice("words", i, j - i + 1)), t, threshold).alias("dice"))
+        found = F.flatten(F.transform(F.sequence(F.lit(1), count), lambda i: F.transform(ends(i), lambda j: scored(i, j))))
+        better = lambda alone: F.filter(found, lambda r: (r["dice"] >= threshold) & (r["dice"] > F.array_max(F.slice(alone, r["i"], r["j"] - r["i"] + 1))))
+        return _let(alone, better)
+
+    near = _computed(near, "runs", F.array_distinct(F.flatten(F.transform("near", runs))))
+    order = lambda r: F.struct(-r["dice"], r["i"], r["j"])
+    beats = lambda o, r: (o["i"] <= r["j"]) & (o["j"] >= r["i"]) & ((order(o) < order(r)) | (order(o) == order(r)) & (o["license"] > r["license"]))
+    best = F.filter("runs", lambda r: ~F.exists("runs", lambda o: beats(o, r)) & ~((r["i"] == 1) & (r["j"] == count)))
+    out = near.select("doc_id", "lines", F.explode(best).alias("r"))
+    return out.select("doc_id", F.element_at("lines", F.col("r.i"))["line"].alias("line"), "r.license", "r.dice")
+
+
 def licence_hits(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, line, license, dice): every line, and every whole text of several lines (line -1), like some template.
+    """(doc_id, line, license, dice): every line, every whole text of several lines (line -1) and every passage of consecutive
+    lines (line: its first), like some template.
 
     Text is compared in lower case with words of a-z and 0-9. dice is twice the shared bigrams, repeats counted, by the
     bigrams of both; only templates whose size allows the threshold are compared. The best template is named, ties to
     the name that sorts last. Null and empty texts and lines of fewer than two words have no hits; rows with null or
-    repeated ids are scanned each; other columns are ignored. The scan has no shuffle and reads whole texts.
+    repeated ids are scanned each; other columns are ignored. Texts and units without any word that a hit must have are
+    left out first. The scan has no shuffle and reads whole texts.
     """
     known = [(name, b) for name, text in templates if (b := bag(text))]
     least = min(len(b) for _, b in known) * threshold / (2 - threshold)
     most = max(len(b) for _, b in known) * (2 - threshold) / threshold
-    literal = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("bag")) for name, b in known))
+    kinds = [(name, b, sorted({x.split("#")[0] for x in b})) for name, b in known]
+    literal = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("bag"), F.array(*map(F.lit, p)).alias("pairs")) for name, b, p in kinds))
+    sign = f"(?<![a-z0-9])(?:{'|'.join(_signs(known, threshold))})(?![a-z0-9])"
     lines = F.split("text", "\n", -1)
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    texts = docs.select("doc_id", "text").where(F.lower("text").rlike(sign))
     units = texts.select("doc_id", F.posexplode(lines).alias("line", "unit")).unionAll(texts.where(F.size(lines) > 1).select("doc_id", F.lit(-1).alias("line"), F.col("text").alias("unit")))
-    units = _computed(units, "unit", _normal(F.col("unit")))
+    units = _computed(units.where(F.lower("unit").rlike(sign)), "unit", _normal(F.col("unit")))
     n = F.length("unit") - F.length(F.replace("unit", F.lit(" "), F.lit("")))  # spaces, as many as bigrams
     words = _computed(units.where(n.between(least, most) & (n > 0)), "words", F.split("unit", " "))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat(F.element_at("words", i), F.lit(" "), F.element_at("words", i + 1)))
-    units = _computed(words.select("doc_id", "line", "words"), "pairs", pairs)
-    numbered = F.transform("pairs", lambda x, i: F.concat(x, F.lit("#"), F.size(F.filter(F.slice("pairs", 1, i + 1), lambda y: y == x)).cast("string")))
-    units = _computed(units.select("doc_id", "line", "pairs"), "bag", numbered)
+    units = _computed(words.select("doc_id", "line", "words"), "pairs", _pairs(F.col("words")))
+    units = _computed(units.select("doc_id", "line", "pairs"), "bag", _numbered(F.col("pairs")))
     size = F.size("bag")
-    fits = F.filter(literal, lambda t: (t["n"] * (2 - threshold) >= size * threshold) & (size * (2 - threshold) >= t["n"] * threshold))
+    fits = F.filter(literal, lambda t: _fits(size, t, threshold))
     scored = F.transform(fits, lambda t: F.struct((2.0 * F.size(F.array_intersect(t["bag"], F.col("bag"))) / (t["n"] + size)).alias("dice"), t["license"].alias("license")))
     best = _computed(units, "best", F.array_max(scored))
-    return best.where(F.col("best.dice") >= threshold).select("doc_id", "line", "best.license", "best.dice")
+    hits = best.where(F.col("best.dice") >= threshold).select("doc_id", "line", "best.license", "best.dice")
+    return hits.unionAll(_passages(texts, literal, threshold))
 
 
 def licence_report(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -266,6 +267,22 @@ def test_licences(spark):
     assert licenses.licence_hits(table(spark, [])).count() == 0
 
 
+def test_licences_of_several_lines(spark):
+    """Notices wrapped at 80 columns above code, and licences in full."""
+    texts = {(n, len(t)): t for n, t in licenses.TEMPLATES}
+    longest = lambda name: max((t for n, t in licenses.TEMPLATES if n == name), key=len)
+    wrap = lambda t, mark: "\n".join(mark + x for x in textwrap.wrap(t, 76))
+    code = "\n".join(f"value_{i} = run({i}, other_{i})" for i in range(60))
+    rows = [(i, f"{mark} file {i}\n\n{wrap(longest(name), mark)}\n\n{code}") for i, (name, mark) in enumerate([("Apache-2.0", "# "), ("GPL-3.0", "// "), ("MIT", ""), ("BSD-2-Clause", " * "), ("BSD-3-Clause", "# ")])]
+    rows += [(9, code), (10, "x\nReleased under the\nMIT License.\n" + code)]
+    got = defaultdict(set)
+    for r in licenses.licence_hits(table(spark, rows)).collect():
+        if r["dice"] > 0.95:
+            got[r["doc_id"]].add((r["license"], r["line"]))
+    assert got == {0: {("Apache-2.0", 2)}, 1: {("GPL-3.0", 2)}, 2: {("MIT", 2)}, 3: {("BSD-2-Clause", 2)}, 4: {("BSD-3-Clause", 2)}, 10: {("MIT", 1)}}
+    assert len(texts) == len(licenses.TEMPLATES)
+
+
 # ---------------------------------------------------------------- top k
 
 
