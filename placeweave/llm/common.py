@@ -41,6 +41,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that was written at fresh_path and that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 # ---------------------------------------------------------------- hashing
 
 
@@ -91,11 +97,11 @@ def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int
         i = j
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, A-Z in lower case, the first word of each row (and one more entry), and the words' first bytes."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, A-Z in lower case, the first word of each row (and one more entry), and the words' first bytes and ends."""
     n = len(data)
     if not n:
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     data = _LOWER[data]
     word = letters[data]
     edge = np.zeros(n + 1, bool)
@@ -113,7 +119,12 @@ def words_of(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _WORD)
     sums[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-    return hashes, np.searchsorted(starts, offsets, "left"), starts
+    return hashes, np.searchsorted(starts, offsets, "left"), starts, ends
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first three of word_spans."""
+    return word_spans(data, offsets, letters)[:3]
 
 
 def shingles_of(words: np.ndarray, k: int) -> np.ndarray:

@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave.llm.common import mix
-from placeweave.llm.token_ids import WordEncoder
 
 #: SentencePiece's mark of a space.
 SPACE = "▁"
@@ -28,6 +27,8 @@ SPACE = "▁"
 LONG = 96
 #: Words that are folded at a time; together they stay below 2**20 characters.
 TOGETHER = 10_000
+#: Words that a worker remembers, at most; beyond it the memory starts anew, which changes no result.
+REMEMBERED = 400_000
 _NONE = np.int64(2**40)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,7 +41,7 @@ def piece_rows(model: str) -> list[tuple[str, int, float]]:
     return [(p.id_to_piece(i), i, p.get_score(i)) for i in range(p.get_piece_size()) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
 
 
-class PieceEncoder(WordEncoder):
+class PieceEncoder:
     """Encodes texts as the library does for BPE models with byte fallback, identity normaliser and a space in front."""
 
     def __init__(self, model: str):
@@ -69,7 +70,8 @@ class PieceEncoder(WordEncoder):
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.at = np.empty(0, np.uint32), np.array([0, 0], np.int64)  # entry 0: nothing, which ends a text
+        # entry 0: nothing, which ends a text; both arrays are filled up to self.used and double when they are full
+        self.flat, self.at, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 1
 
     @staticmethod
     def hash_of(words: list[str]) -> np.ndarray:
@@ -120,10 +122,36 @@ class PieceEncoder(WordEncoder):
         found = {w: self.merged(w) for w in new if len(w) > LONG}
         for at in range(0, len(short), TOGETHER):
             found.update(zip(short[at : at + TOGETHER], self.fold(short[at : at + TOGETHER]), strict=True))
-        base = len(self.at) - 1
+        base = self.used
         self.index.update(zip(new, range(base, base + len(new)), strict=True))
-        self.flat = np.concatenate([self.flat, *(found[w] for w in new)]).astype(np.uint32)
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(found[w]) for w in new])])
+        ends = self.at[base] + np.cumsum([len(found[w]) for w in new])
+        for name, need in (("flat", int(ends[-1])), ("at", base + len(new) + 1)):
+            held = getattr(self, name)
+            if need > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(max(need, 2 * len(held)) - len(held), held.dtype)]))
+        self.flat[self.at[base] : ends[-1]] = np.concatenate([found[w] for w in new])
+        self.at[base + 1 : base + len(new) + 1] = ends
+        self.used = base + len(new)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids of each text)."""
+        split = [self.split(t) for t in texts]
+        if len(self.index) > REMEMBERED:
+            self.reset()
+        new = {w for words in split for w in words if w not in self.index}
+        if new:
+            self.learn(new)
+        get, index, counts = self.index.__getitem__, [], []
+        for words in split:
+            index.extend(map(get, words))
+            index.append(0)
+            counts.append(len(words) + 1)
+        index = np.array(index, np.int64)
+        sizes = self.at[index + 1] - self.at[index]
+        ends = np.cumsum(sizes)
+        where = np.repeat(self.at[index] - (ends - sizes), sizes) + np.arange(ends[-1])
+        last = np.cumsum(counts) - 1
+        return self.flat[where], np.diff(ends[last], prepend=0)
 
     def fold(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word: lattice edges of all words, then merges of all words side by side."""

@@ -84,6 +84,32 @@ def test_id_files(spark, docs, tmp_path, monkeypatch):
     assert whole[1] == ids(TEXTS[1]) and whole[None] == ids("no id")
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abteh's ll\n\trdvmLRE\u00e9\u65e51.,<|>\u2019\u0301\u00df\u00b2\u0130\u03a3\u00a0\u0085\x1c")), max_size=30), max_size=6))
+def test_word_bpe_is_the_library(texts):
+    import pyarrow as pa
+
+    e = token_ids.encoder(WORD, 2)
+    texts = [*texts, *TEXTS, None]
+    found = list(e.encode(pa.array(texts, pa.string())))
+    assert [f[0] for f in found] == [0]
+    got = np.split(found[0][1], np.cumsum(found[0][2])[:-1])
+    assert [x.tolist() for x in got] == [e.tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+
+
+def test_word_bpe_in_runs(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_ids, "TOGETHER", 100)
+    e = token_ids.encoder(WORD, 2)
+    texts = [t for t in TEXTS for _ in range(3)]
+    got = []
+    for first, ids, n in e.encode(pa.array(texts, pa.string())):
+        assert first == len(got)
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [e.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
 def test_id_files_of_nothing(spark, tmp_path):
     token_ids.write_ids(spark.createDataFrame([], "doc_id long, text string"), WORD, str(tmp_path / "none"))
     assert token_ids.read_digests(spark, str(tmp_path / "none")).count() == 0
