@@ -304,9 +304,48 @@ def test_top_k(spark):
 
 
 def test_maxscore_with_few_rows():
-    rows = np.array([[1, 2], [3, -4]])
-    got = {i: (ids.tolist(), s.tolist()) for i, ids, s in topk.maxscore(rows, np.array([7, 8]), rows, np.array([7, 8]), 20)}
-    assert got == {0: ([8], [-5]), 1: ([7], [-5])}
+    rows, ids = np.array([[1, 2], [3, -4]]), np.array([7, 8])
+    theta, last = topk.first_look(rows, ids, rows, ids, 20)
+    got = topk.maxscore(rows, ids, rows, ids, 20, theta, last)
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == [(0, 8, -5), (1, 7, -5)]
+    assert all(len(x) == 0 for x in topk.maxscore(rows[:0], ids[:0], rows, ids, 20, theta[:0], last[:0]))
+    assert all(len(x) == 0 for x in topk.maxscore(rows, ids, rows[:0], ids[:0], 20, theta, last))
+
+
+@pytest.mark.parametrize("spread", [1, 30, 40_000])
+def test_maxscore_against_all_scores(monkeypatch, spread):
+    """Ties, repeated rows and ids, thresholds from other rows; also with numbers too large for short floats."""
+    monkeypatch.setattr(topk, "AT_ONCE", 16)
+    monkeypatch.setattr(topk, "ROWS_AT_ONCE", 64)
+    rng = np.random.default_rng(spread)
+    centres = rng.integers(-spread, spread + 1, (6, 12))
+    rows = centres[rng.integers(0, 6, 700)] + rng.integers(-1, 2, (700, 12)) * rng.integers(0, 2, (700, 1))
+    rows[100:400] = rows[100]
+    ids = rng.permutation(900)[:700]
+    ids[5] = ids[6]
+    q, own, k = rows[::9], ids[::9], 7
+    look = rng.permutation(700)[:60]
+    theta, last = topk.first_look(q, own, rows[look], ids[look], k)
+    place, found, score = topk.maxscore(q, own, rows, ids, k, theta, last)
+    for i in range(len(q)):
+        s = rows @ q[i]
+        expected = sorted(((-int(v), int(x)) for v, x in zip(s, ids, strict=True) if x != own[i]))[:k]
+        got = sorted((-int(v), int(x)) for v, x in zip(score[place == i], found[place == i], strict=True))
+        assert got == expected
+
+
+def test_top_k_in_shards_and_blocks(spark, monkeypatch):
+    for name, n in (("QUERY_BLOCK", 10), ("SHARD_ROWS", 70), ("LOOK", 25)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(4)
+    x = rng.integers(-3, 4, (400, 5))
+    df = spark.createDataFrame([(i, (v / 64).tolist(), 1, 2, "x") for i, v in enumerate(x)], "vec_id long, embedding array<double>, theta int, b int, query string")
+    got = defaultdict(list)
+    for r in topk.exact_top_k(topk.integer_vectors(df), F.col("vec_id") % 20 == 0, 6).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 400, 20):
+        best = sorted((-int(v), i) for i, v in enumerate(x @ x[q]) if i != q)[:6]
+        assert sorted(got[q]) == [(n + 1, i, -v) for n, (v, i) in enumerate(best)]
 
 
 # ---------------------------------------------------------------- language
