@@ -44,7 +44,8 @@ def _marked(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     starts = repeated_starts(texts).select(F.col("doc_id").alias("id"), F.col("version").alias("of"), "starts")
     row = docs.select(F.struct("*").alias("row"))
-    joined = row.join(starts, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("of")), "left")
+    # a document has one row of starts at most: they are hashed, and whole texts aren't sorted
+    joined = row.join(starts.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("of")), "left")
     lines = F.coalesce(_lines(F.col("row.text")), F.array().cast("array<string>"))
     covered = F.flatten(F.transform("starts", lambda s: F.array(*(s + k for k in range(WINDOW)))))
     kept = F.when(F.col("starts").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered))
@@ -72,7 +73,7 @@ def line_report(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_lines, n_removed) of dedup_lines; n_lines counts the lines before, 0 for a null text."""
     n = F.size("lines").cast("long")
     removed = F.when(F.col("kept").isNull(), F.lit(0).cast("long")).otherwise(n - F.size("kept"))
-    return _marked(docs).select(F.col("row.doc_id").alias("doc_id"), _clean().alias("text"), n.alias("n_lines"), removed.alias("n_removed"))
+    return _marked(docs.select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), _clean().alias("text"), n.alias("n_lines"), removed.alias("n_removed"))
 
 
 LINE_REPORT_SQL = """
