@@ -130,18 +130,39 @@ def _fits(n: Column, t: Column, threshold: float) -> Column:
     return (t["n"] * (2 - threshold) >= n * threshold) & (n * (2 - threshold) >= t["n"] * threshold)
 
 
-def _passages(texts: DataFrame, literal: Column, threshold: float) -> DataFrame:
-    """(doc_id, line, license, dice) of runs of consecutive lines, blank ones not counted, that are like a template.
+def _line_hits(known: Column, threshold: float, least: float, most: float, sign: str) -> Column:
+    """(line, license, dice) of the lines of a text, and of the whole text if it has several, that are like a template."""
+    several = F.when(F.size("parts") > 1, F.array(F.struct(F.lit(-1).alias("line"), F.col("text").alias("unit")))).otherwise(F.array().cast("array<struct<line:int,unit:string>>"))
+    units = F.filter(F.concat(F.transform("parts", lambda x, i: F.struct(i.alias("line"), x.alias("unit"))), several), lambda u: F.lower(u["unit"]).rlike(sign))
+    split = F.transform(units, lambda u: F.struct(u["line"].alias("line"), F.split(_normal(u["unit"]), " ").alias("words")))
+    sized = F.filter(split, lambda u: (F.size(u["words"]) > 1) & (F.size(u["words"]) - 1).between(least, most))
+
+    def best(u: Column) -> Column:
+        share = lambda bag, t: (2.0 * F.size(F.array_intersect(t["bag"], bag)) / (t["n"] + F.size(bag))).alias("dice")
+        scored = lambda bag: F.transform(F.filter(known, lambda t: _fits(F.size(bag), t, threshold)), lambda t: F.struct(share(bag, t), t["license"].alias("license")))
+        return F.struct(u["line"].alias("line"), _let(_pairs(u["words"]), lambda pairs: _let(_numbered(pairs), lambda bag: F.array_max(scored(bag)))).alias("best"))
+
+    found = F.filter(F.transform(sized, best), lambda u: u["best"]["dice"] >= threshold)
+    return F.transform(found, lambda u: F.struct(u["line"].alias("line"), u["best"]["license"].alias("license"), u["best"]["dice"].alias("dice")))
+
+
+def _passages(texts: DataFrame, known: Column, every: Column, threshold: float) -> DataFrame:
+    """texts(parts, ...) with passages (every: all templates' bigrams): (line, license, dice) of runs of consecutive lines, blank ones not counted, that are like a template.
 
     Of runs that share a line the most similar counts, and only if none of its lines is as much like that template. The run of
     all lines is the whole text, which is a unit of its own.
     """
-    whole = F.concat(F.lit(" "), _normal(F.col("text")), F.lit(" "))
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), _normal(x).alias("unit")))
-    kept = _computed(_computed(texts, "whole", whole), "lines", F.filter(lines, lambda x: x["unit"] != "")).where(F.size("lines") > 1)
-    present = lambda t: F.size(F.filter(t["bag"], lambda p: F.contains(F.col("whole"), F.concat(F.lit(" "), F.substring_index(p, "#", 1), F.lit(" ")))))
-    near = _computed(kept, "near", F.filter(literal, lambda t: present(t) * (2 - threshold) >= t["n"] * threshold)).where(F.size("near") > 0)
-    near = _computed(near, "words", F.transform("lines", lambda x: F.split(x["unit"], " ")))
+    lines = F.filter(F.transform("parts", lambda x, i: F.struct(i.alias("line"), _normal(x).alias("unit"))), lambda x: x["unit"] != "")
+    kept = _computed(texts, "lines", lines)
+    pairs = F.flatten(F.transform("lines", lambda x: F.split(x["unit"], " ")))
+    pairs = F.when(F.size("lines") > 1, _let(pairs, lambda w: F.when(F.size(w) > 1, _pairs(w))))
+    # of all templates' bigrams those of the text: a small set, held against each template's
+    kept = _computed(kept, "shared", F.array_intersect(every, pairs))
+    present = lambda t: F.size(F.array_intersect(t["pairs"], F.col("shared"))) + t["n"] - F.size(t["pairs"])
+    near = F.when(F.size("shared") > 0, F.filter(known, lambda t: present(t) * (2 - threshold) >= t["n"] * threshold))
+    near = _computed(kept, "near", F.coalesce(near, F.filter(known, lambda t: F.lit(False))))
+    any_near = F.size("near") > 0
+    near = _computed(near, "words", F.when(any_near, F.transform("lines", lambda x: F.split(x["unit"], " "))))
     upto = F.aggregate("words", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.size(x))))
     near = _computed(near, "upto", upto)
     count = F.size("words")
@@ -156,12 +177,12 @@ def _passages(texts: DataFrame, literal: Column, threshold: float) -> DataFrame:
         better = lambda alone: F.filter(found, lambda r: (r["dice"] >= threshold) & (r["dice"] > F.array_max(F.slice(alone, r["i"], r["j"] - r["i"] + 1))))
         return _let(alone, better)
 
-    near = _computed(near, "runs", F.array_distinct(F.flatten(F.transform("near", runs))))
+    near = _computed(near, "runs", F.when(any_near, F.array_distinct(F.flatten(F.transform("near", runs)))))
     order = lambda r: F.struct(-r["dice"], r["i"], r["j"])
     beats = lambda o, r: (o["i"] <= r["j"]) & (o["j"] >= r["i"]) & ((order(o) < order(r)) | (order(o) == order(r)) & (o["license"] > r["license"]))
     best = F.filter("runs", lambda r: ~F.exists("runs", lambda o: beats(o, r)) & ~((r["i"] == 1) & (r["j"] == count)))
-    out = near.select("doc_id", "lines", F.explode(best).alias("r"))
-    return out.select("doc_id", F.element_at("lines", F.col("r.i"))["line"].alias("line"), "r.license", "r.dice")
+    named = F.transform(best, lambda r: F.struct(F.element_at("lines", r["i"])["line"].alias("line"), r["license"].alias("license"), r["dice"].alias("dice")))
+    return near.withColumn("passages", F.coalesce(named, F.array().cast("array<struct<line:int,license:string,dice:double>>")))
 
 
 def licence_hits(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -172,28 +193,18 @@ def licence_hits(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float
     bigrams of both; only templates whose size allows the threshold are compared. The best template is named, ties to
     the name that sorts last. Null and empty texts and lines of fewer than two words have no hits; rows with null or
     repeated ids are scanned each; other columns are ignored. Texts and units without any word that a hit must have are
-    left out first. The scan has no shuffle and reads whole texts.
+    left out first. One scan reads whole texts, without a shuffle.
     """
     known = [(name, b) for name, text in templates if (b := bag(text))]
     least = min(len(b) for _, b in known) * threshold / (2 - threshold)
     most = max(len(b) for _, b in known) * (2 - threshold) / threshold
     kinds = [(name, b, sorted({x.split("#")[0] for x in b})) for name, b in known]
     literal = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("bag"), F.array(*map(F.lit, p)).alias("pairs")) for name, b, p in kinds))
+    every = F.array(*map(F.lit, sorted({x for _, _, p in kinds for x in p})))
     sign = f"(?<![a-z0-9])(?:{'|'.join(_signs(known, threshold))})(?![a-z0-9])"
-    lines = F.split("text", "\n", -1)
     texts = docs.select("doc_id", "text").where(F.lower("text").rlike(sign))
-    units = texts.select("doc_id", F.posexplode(lines).alias("line", "unit")).unionAll(texts.where(F.size(lines) > 1).select("doc_id", F.lit(-1).alias("line"), F.col("text").alias("unit")))
-    units = _computed(units.where(F.lower("unit").rlike(sign)), "unit", _normal(F.col("unit")))
-    n = F.length("unit") - F.length(F.replace("unit", F.lit(" "), F.lit("")))  # spaces, as many as bigrams
-    words = _computed(units.where(n.between(least, most) & (n > 0)), "words", F.split("unit", " "))
-    units = _computed(words.select("doc_id", "line", "words"), "pairs", _pairs(F.col("words")))
-    units = _computed(units.select("doc_id", "line", "pairs"), "bag", _numbered(F.col("pairs")))
-    size = F.size("bag")
-    fits = F.filter(literal, lambda t: _fits(size, t, threshold))
-    scored = F.transform(fits, lambda t: F.struct((2.0 * F.size(F.array_intersect(t["bag"], F.col("bag"))) / (t["n"] + size)).alias("dice"), t["license"].alias("license")))
-    best = _computed(units, "best", F.array_max(scored))
-    hits = best.where(F.col("best.dice") >= threshold).select("doc_id", "line", "best.license", "best.dice")
-    return hits.unionAll(_passages(texts, literal, threshold))
+    texts = _passages(_computed(texts, "parts", F.split("text", "\n", -1)), literal, every, threshold)
+    return texts.select("doc_id", F.inline(F.concat(_line_hits(literal, threshold, least, most, sign), F.col("passages")))).select("doc_id", "line", "license", "dice")
 
 
 def licence_report(docs: DataFrame) -> DataFrame:
