@@ -1,15 +1,12 @@
-"""Helpers shared by the training-data operators: shared storage, vectorised word hashing, connected components."""
+"""Helpers shared by the training-data operators: tables and vectorised word hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: What separates words: space and U+0009 to U+000D. All are single bytes in UTF-8.
 SPACES = b"\t\n\x0b\x0c\r "
@@ -21,32 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="placeweave-checkpoints-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut by a reliable checkpoint in the shared folder; lost executors cost nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table that was written at fresh_path and that nothing reads any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
 # ---------------------------------------------------------------- hashing
 
 
@@ -150,41 +121,3 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield first + r, mix(short)
             else:
                 yield first + r, np.empty(0, np.uint64)
-
-
-# ---------------------------------------------------------------- graphs
-
-
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """left joined with right, which is aggregated by key: a hot key's rows of left can be split over tasks.
-
-    The join also compares a second column derived from the key, so the aggregate's own partitioning doesn't serve it
-    and both sides get an exchange of their own, whose skewed partitions adaptive execution splits.
-    """
-    second = "_second_key"
-    return left.withColumn(second, F.xxhash64(key)).join(right.withColumn(second, F.xxhash64(key)), [key, second], how).drop(second)
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of an undirected edge list of longs without nulls.
-
-    Alternating large-star and small-star rounds (Kiveris et al. 2014). A node's neighbours meet only as their minimum,
-    so no hub is gathered in one task. The state is checkpointed each round; only a change counter reaches the driver.
-    """
-    pairs = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    seen = None
-    for _ in range(max_rounds):
-        both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = skew_join(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = skew_join(large, low, "u").select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).where("u <> v").distinct()
-        pairs = cut(small)
-        mark = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
-    stars = pairs.groupBy("u").agg(F.min("v").alias("component"))
-    return stars.select(F.col("u").alias("node"), "component").union(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.llm.common import PLAIN, cut, shingles_of, text_chunks, words_of
+from placeweave.llm.common import PLAIN, shingles_of, text_chunks, words_of
+from placeweave.operators.graph import cut
 
 #: Words of a seed. Every n-gram of an item is one, so any copied run of so many words holds one.
 GRAM = 3

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.llm.common import connected_components, cut, fresh_path, mix, shingle_sets, skew_join
+from placeweave.llm.common import mix, shingle_sets
+from placeweave.operators.graph import connected_components, cut, fresh_path, skew_join
 
 #: Counters of the sketch of shingle counts, and the pieces in which its parts are added up.
 SKETCH, PIECES = 1 << 20, 64

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm.common import fresh_path, table
+from placeweave.llm.common import table
 from placeweave.llm.decontaminate import leaks
 from placeweave.llm.html_text import main_text
 from placeweave.llm.jaccard_join import jaccard_classes
@@ -16,6 +16,7 @@ from placeweave.llm.pieces import piece_report
 from placeweave.llm.token_counts import token_counts
 from placeweave.llm.token_ids import read_digests, write_ids
 from placeweave.llm.topk import exact_top_k, integer_vectors
+from placeweave.operators.graph import fresh_path
 
 
 def vocabulary(name: str) -> str:

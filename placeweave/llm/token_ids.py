@@ -24,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm.common import CHUNK_BYTES, fresh_path, remove, text_chunks, word_spans
+from placeweave.llm.common import CHUNK_BYTES, text_chunks, word_spans
+from placeweave.operators.graph import fresh_path, remove
 
 #: Ids in a block, about: a block ends with the document that reaches it.
 BLOCK_IDS = 1 << 18
