@@ -90,26 +90,40 @@ def phrase_hits(words: Column, phrase: Column) -> Column:
 # ---------------------------------------------------------------- fuzzy similarity of names
 
 
-def _lcs(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+def _places(a: str) -> dict[str, int]:
+    """Where each letter stands, as bits."""
+    out: dict[str, int] = {}
+    for i, x in enumerate(a):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+def _lcs(places: dict[str, int], n: int, b: str) -> int:
+    """Length of the longest common subsequence of a text of n letters, given by its places, and b: a row of the table is one integer."""
+    full = (1 << n) - 1
+    row = full
+    for y in b:
+        hit = row & places.get(y, 0)
+        row = (row + hit | row - hit) & full
+    return n - row.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
     """Twice the longest common subsequence by both lengths."""
-    return 2 * _lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
+    return 2 * _lcs(_places(a), len(a), b) / (len(a) + len(b)) if a or b else 1.0
 
 
 def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter string to a window of the longer one, cut off at both ends as well."""
     short, long = sorted((a, b), key=len)
-    n = len(short)
-    windows = {long[max(0, i) : i + n] for i in range(1 - n, len(long))} - {""}
-    return max((ratio(short, w) for w in windows), default=0.0)
+    n, places = len(short), _places(short)
+    if short and short in long:
+        return 1.0
+    best = 0.0
+    for w in {long[max(0, i) : i + n] for i in range(1 - n, len(long))} - {""}:
+        if 2 * min(n, len(w)) > best * (n + len(w)):
+            best = max(best, 2 * _lcs(places, n, w) / (n + len(w)))
+    return best
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -130,7 +144,8 @@ def similarity(a: str | None, b: str | None) -> float:
     """Names' similarity: the mean of the more generous of two ratios and the strict one; 0 for an empty name."""
     if not a or not b:
         return 0.0
-    return (max(token_set_ratio(a, b), partial_ratio(a, b)) + ratio(a, b)) / 2
+    generous = token_set_ratio(a, b)
+    return (max(generous, partial_ratio(a, b) if generous < 1 else 0.0) + ratio(a, b)) / 2
 
 
 @F.pandas_udf(DoubleType())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from placeweave import config as C
 from placeweave.functions import text as T
 from placeweave.functions.geo import haversine_m, merge_confidence, merge_rule
-from placeweave.operators.graph import components, cut
+from placeweave.operators.graph import connected_components, cut
 
 #: Trigram similarity above which a place is a candidate for a mention without coordinates.
 NAME_CANDIDATES = 0.4
@@ -90,36 +90,91 @@ def fuzzy_similarity(pairs: DataFrame) -> DataFrame:
     return pairs.join(known, ["left_key", "right_key"])
 
 
-def resolve(records: DataFrame, similarity: str = "fuzzy") -> DataFrame:
-    """(place_id, survivor, decision, confidence) of records in their order of arrival, which is place_id.
+def trigram_similarity(pairs: DataFrame) -> DataFrame:
+    """pairs with `fuzzy` as the trigram similarity: trigrams are taken once a key, and each distinct pair of keys is compared once."""
+    two = pairs.select("left_key", "right_key").distinct()
+    grams = lambda side: two.select(side).distinct().withColumn(f"{side}_grams", T.trigrams(F.col(side)))
+    known = two.join(grams("left_key"), "left_key").join(grams("right_key"), "right_key").select("left_key", "right_key", T.jaccard(F.col("left_key_grams"), F.col("right_key_grams")).alias("fuzzy"))
+    return pairs.join(known, ["left_key", "right_key"])
+
+
+_DECISION = "place_id long, survivor long, decision string, confidence double, match long, similarity double, distance_m double"
+
+
+def leaders(df: pd.DataFrame) -> pd.DataFrame:
+    """The decisions of a component's records, in their order, from its pairs: settled records survive, whatever they are like."""
+    settled = set(df.loc[df["left_settled"], "left_id"]) | set(df.loc[df["right_settled"], "right_id"])
+    survivors = settled | (set(df["left_id"]) - set(df["right_id"]))
+    out = [(i, i, "created", 0.0, None, None, None) for i in sorted(survivors)]
+    for right, mine in df[~df["right_id"].isin(settled)].sort_values(["right_id", "left_id"]).groupby("right_id", sort=True):
+        best = None
+        for r in mine.itertuples(index=False):
+            if r.left_id in survivors and (best is None or (not pd.isna(r.rule), r.confidence) > best[0]):
+                best = ((not pd.isna(r.rule), r.confidence), r)
+        if best is not None and best[0][0]:
+            r = best[1]
+            out.append((right, r.left_id, "merged", r.confidence, r.left_id, r.similarity, r.distance_m))
+            continue
+        survivors.add(right)
+        flagged = best is not None and best[1].confidence >= C.REVIEW_CONFIDENCE and best[1].similarity >= C.REVIEW_SIMILARITY
+        near = (best[1].confidence, best[1].left_id, best[1].similarity, best[1].distance_m) if best is not None else (0.0, None, None, None)
+        out.append((right, right, "flagged" if flagged else "created", *near))
+    kinds = {"match": "Int64", "similarity": "float64", "distance_m": "float64"}
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _DECISION.split(", ")]).astype(kinds)
+
+
+#: Pairs of a component up to which one task decides it; larger ones are decided in rounds, by whom all records before have been.
+ONE_TASK = 200_000
+
+
+def _decide_in_rounds(pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """leaders for components of any size: in each round the records decide whose earlier neighbours all have decided. The state is cut each round."""
+    ends = pairs.select(F.col("left_id").alias("place_id"), F.col("left_settled").alias("settled")).union(pairs.select("right_id", "right_settled"))
+    nodes = ends.groupBy("place_id").agg(F.bool_or("settled").alias("settled"))
+    open_pairs = cut(pairs.where(~F.col("right_settled")))
+    first = nodes.join(open_pairs.select(F.col("right_id").alias("place_id")).distinct(), "place_id", "left_anti")
+    done = cut(first.select("place_id", F.col("place_id").alias("survivor"), F.lit("created").alias("decision"), F.lit(0.0).alias("confidence"), *(F.lit(None).cast(t).alias(c) for c, t in (("match", "long"), ("similarity", "double"), ("distance_m", "double")))))
+    for _ in range(max_rounds):
+        if open_pairs.isEmpty():
+            return done
+        known = done.select(F.col("place_id").alias("left_id"), (F.col("survivor") == F.col("place_id")).alias("stands"))
+        seen = open_pairs.join(known, "left_id", "left")
+        item = F.struct("left_id", "similarity", "rule", "confidence", "distance_m")
+        rank = F.struct(F.col("rule").isNotNull().alias("r"), "confidence", (-F.col("left_id")).alias("o"))
+        ready = seen.groupBy("right_id").agg(F.bool_and(F.col("stands").isNotNull()).alias("ready"), F.max_by(F.when(F.col("stands"), item), F.when(F.col("stands"), rank)).alias("b")).where("ready")
+        merged, flagged = F.col("b.rule").isNotNull(), (F.col("b.confidence") >= C.REVIEW_CONFIDENCE) & (F.col("b.similarity") >= C.REVIEW_SIMILARITY)
+        new = ready.select(F.col("right_id").alias("place_id"), F.when(merged, F.col("b.left_id")).otherwise(F.col("right_id")).alias("survivor"), F.when(merged, "merged").when(flagged, "flagged").otherwise("created").alias("decision"), F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"), F.col("b.left_id").alias("match"), F.col("b.similarity").alias("similarity"), F.col("b.distance_m").alias("distance_m"))
+        new = cut(new)
+        open_pairs = cut(open_pairs.join(new.select(F.col("place_id").alias("right_id")), "right_id", "left_anti"))
+        done = cut(done.union(new))
+    raise RuntimeError(f"decisions not settled after {max_rounds} rounds")
+
+
+def resolve(records: DataFrame, similarity: str = "fuzzy", one_task: int = ONE_TASK) -> DataFrame:
+    """(place_id, survivor, decision, confidence, match, similarity, distance_m) of records in their order of arrival, which is place_id.
 
     Each record joins the best earlier survivor that a rule allows, else survives itself; flagged records survive next to a
-    likely match. Only pairs within MERGE_RADIUS_M can decide anything, so their components are resolved apart, each in order.
+    likely match. match is the survivor that a record came closest to, null without any. Records with a true `settled`, a
+    column that may be missing, are places already: they survive and are compared only with new records. Only pairs within
+    MERGE_RADIUS_M can decide anything, so their components are resolved apart, each in order; those of more than
+    `one_task` pairs in rounds, so that no task holds a component without a bound.
     """
-    pairs = with_keys(near_pairs(records, C.MERGE_RADIUS_M), records)
-    measured = fuzzy_similarity(pairs) if similarity == "fuzzy" else pairs.withColumn("fuzzy", T.jaccard(T.trigrams(F.col("left_key")), T.trigrams(F.col("right_key"))))
-    scored = cut(decide(measured, F.col("fuzzy")).select("left_id", "right_id", "similarity", "rule", "confidence"))
-    parts = components(scored.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
+    known = records if "settled" in records.columns else records.withColumn("settled", F.lit(False))
+    settled = known.where("settled").select("place_id", F.lit(True).alias("settled"))
+    pairs = with_keys(near_pairs(known, C.MERGE_RADIUS_M), known)
+    for side in ("left", "right"):
+        pairs = pairs.join(settled.select(F.col("place_id").alias(f"{side}_id"), F.col("settled").alias(f"{side}_settled")), f"{side}_id", "left").withColumn(f"{side}_settled", F.coalesce(f"{side}_settled", F.lit(False)))
+    pairs = pairs.where(~(F.col("left_settled") & F.col("right_settled")))
+    measured = fuzzy_similarity(pairs) if similarity == "fuzzy" else trigram_similarity(pairs)
+    scored = cut(decide(measured, F.col("fuzzy")).select("left_id", "right_id", "similarity", "rule", "confidence", "distance_m", "left_settled", "right_settled"))
+    parts = connected_components(scored.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
     grouped = scored.join(parts.withColumnRenamed("node", "left_id"), "left_id")
-
-    def leaders(df: pd.DataFrame) -> pd.DataFrame:
-        survivors, out = set(df["left_id"]) - set(df["right_id"]), []
-        out += [(i, i, "created", 0.0) for i in sorted(survivors)]
-        for right, mine in df.sort_values(["right_id", "left_id"]).groupby("right_id", sort=True):
-            best = None
-            for r in mine.itertuples(index=False):
-                if r.left_id in survivors and (best is None or (not pd.isna(r.rule), r.confidence) > best[0]):
-                    best = ((not pd.isna(r.rule), r.confidence), r)
-            if best is not None and best[0][0]:
-                out.append((right, best[1].left_id, "merged", best[1].confidence))
-                continue
-            survivors.add(right)
-            flagged = best is not None and best[1].confidence >= C.REVIEW_CONFIDENCE and best[1].similarity >= C.REVIEW_SIMILARITY
-            out.append((right, right, "flagged" if flagged else "created", best[1].confidence if best is not None else 0.0))
-        return pd.DataFrame(out, columns=["place_id", "survivor", "decision", "confidence"])
-
-    decided = grouped.groupBy("component").applyInPandas(leaders, "place_id long, survivor long, decision string, confidence double")
-    return records.select("place_id").join(decided, "place_id", "left").select("place_id", F.coalesce("survivor", "place_id").alias("survivor"), F.coalesce("decision", F.lit("created")).alias("decision"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    large = cut(grouped.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > one_task).select("component"))
+    decided = grouped.join(large, "component", "left_anti").groupBy("component").applyInPandas(leaders, _DECISION)
+    if not large.isEmpty():
+        decided = decided.unionByName(_decide_in_rounds(grouped.join(large, "component", "left_semi").drop("component")))
+    none = lambda c, value: F.coalesce(c, value).alias(c)
+    return known.select("place_id").join(decided, "place_id", "left").select("place_id", none("survivor", F.col("place_id")), none("decision", F.lit("created")), none("confidence", F.lit(0.0)), "match", "similarity", "distance_m")
 
 
 def reviews(decided_pairs: DataFrame) -> DataFrame:
@@ -184,47 +239,58 @@ def resolve_names(mentions: DataFrame, places: DataFrame, similarity: str = "fuz
 
 
 def fold_signals(mentions: DataFrame) -> DataFrame:
-    """(place_id, source, mention_count, upvotes, thread_score, sentiment, review_count, observed_at, url, merged_mentions).
+    """One signal a place and source of mentions(place_id, source, seq, ...), folded from the first to the last.
 
-    mentions(place_id, source, seq, ...) of a place and source fold from the first to the last: counts add up, the best
-    thread counts, and sentiment is averaged by upvotes and one more, rounded at every step, so the order matters.
+    Counts of mentions, upvotes, threads and reviews add up, the best thread and the newest time count, communities are
+    united, and sentiment is averaged by upvotes and one more, rounded at every step, so the order matters. Rating and
+    source identity are the first one's, the url is the first there is. rating, source_place_id, thread_count, subreddits
+    and merged_mentions (1 if null) may be missing.
     """
-    fields = ("sentiment", "upvotes", "mention_count", "thread_score", "review_count")
+    optional = {"source_place_id": "string", "rating": "double", "thread_count": "long", "subreddits": "array<string>", "merged_mentions": "int"}
+    held = mentions.withColumns({c: F.lit(None).cast(t) for c, t in optional.items() if c not in mentions.columns})
+    fields = ("sentiment", "upvotes", "mention_count", "thread_score", "review_count", "thread_count", "merged_mentions", "rating", "source_place_id", "subreddits")
     item = F.struct("seq", *fields, "observed_at", "url")
-    sorted_items = mentions.groupBy("place_id", "source").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    sorted_items = held.groupBy("place_id", "source").agg(F.array_sort(F.collect_list(item)).alias("items"))
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     whole = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     first = F.element_at("items", 1)
-    start = F.struct(zero(first["sentiment"]).alias("sentiment"), whole(first["upvotes"]).alias("upvotes"), F.lit(1).alias("merged"))
+    times = lambda c: F.coalesce(c["merged_mentions"], F.lit(1)).cast("int")
+    start = F.struct(zero(first["sentiment"]).alias("sentiment"), whole(first["upvotes"]).alias("upvotes"), times(first).alias("merged"))
     step = lambda acc, x: F.struct(
         F.bround((acc["sentiment"] * (acc["upvotes"] + 1) + zero(x["sentiment"]) * (whole(x["upvotes"]) + 1)) / (acc["upvotes"] + 1 + whole(x["upvotes"]) + 1), 4).alias("sentiment"),
         (acc["upvotes"] + whole(x["upvotes"])).alias("upvotes"),
-        (acc["merged"] + 1).alias("merged"),
+        (acc["merged"] + times(x)).alias("merged"),
     )
     folded = sorted_items.withColumn("f", F.aggregate(F.slice("items", 2, F.greatest(F.lit(1), F.size("items"))), start, step))
     total = lambda name: F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + whole(x[name]))
+    said = F.filter("items.subreddits", lambda x: x.isNotNull())
     return folded.select(
         "place_id", "source", total("mention_count").alias("mention_count"), F.col("f.upvotes").alias("upvotes"), F.array_max(F.transform("items", lambda x: whole(x["thread_score"]))).alias("thread_score"),
-        F.col("f.sentiment").alias("sentiment"), total("review_count").alias("review_count"), F.array_max("items.observed_at").alias("observed_at"),
+        F.when(F.exists("items", lambda x: x["sentiment"].isNotNull()), F.col("f.sentiment")).alias("sentiment"), total("review_count").alias("review_count"), F.array_max("items.observed_at").alias("observed_at"),
         F.try_element_at(F.filter("items.url", lambda u: u.isNotNull()), F.lit(1)).alias("url"), F.col("f.merged").alias("merged_mentions"),
+        total("thread_count").alias("thread_count"), F.element_at("items", 1)["rating"].alias("rating"), F.element_at("items", 1)["source_place_id"].alias("source_place_id"),
+        F.when(F.size(said) > 0, F.array_sort(F.array_distinct(F.flatten(said)))).alias("subreddits"),
     )
 
 
 def enrich(records: DataFrame, survivors: DataFrame) -> DataFrame:
     """Survivors with their gaps filled by the records that joined them, the earliest first.
 
-    Only nulls are filled, but any category beats `other`, and a price or hours that are nothing count as none.
+    Only nulls are filled, but any category beats `other`, and a price or hours that are nothing count as none. Name, city
+    and coordinates are the survivor's own.
     """
     joined = records.join(survivors.select("place_id", "survivor"), "place_id")
-    order = F.col("place_id")
+    order = F.struct((F.col("place_id") != F.col("survivor")).alias("other"), "place_id")
     first = lambda c, ok: F.min_by(F.when(ok, F.col(c)), F.when(ok, order)).alias(c)
     present = lambda c: F.col(c).isNotNull()
     filled = [c for c in ("address", "neighborhood", "country_code", "open_min", "close_min") if c in records.columns]
+    own = [c for c in ("city", "lat", "lng") if c in records.columns]
     out = joined.groupBy("survivor").agg(
-        F.min_by("name", order).alias("name"),
+        *(F.min_by(c, order).alias(c) for c in ("name", *own)),
         first("price_tier", present("price_tier") & (F.col("price_tier") != 0)),
-        F.coalesce(F.min_by(F.when(F.col("category") != "other", F.col("category")), F.when(F.col("category") != "other", order)), F.lit("other")).alias("category"),
+        F.coalesce(first("category", F.col("category") != "other"), F.lit("other")).alias("category"),
         *(first(c, present(c)) for c in filled),
+        *([first("hours", F.size("hours") > 0)] if "hours" in records.columns else []),
         F.count("*").alias("n_records"),
     )
     return out.withColumnRenamed("survivor", "place_id")

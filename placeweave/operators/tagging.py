@@ -51,20 +51,32 @@ def phrase_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFr
     return out.withColumn("words", T.tokens(F.col("phrase"))).where(F.size("words") > 0).withColumn("first", F.element_at("words", 1))
 
 
+#: Rows of a phrase table up to which it is broadcast and its first words are looked up in place.
+FEW_PHRASES = 10_000
+
+
 def phrase_matches(snippets: DataFrame, phrases: DataFrame) -> DataFrame:
     """(place_id, doc_id, tag, phrase, vetoes, hits) of snippets(place_id, doc_id, text): matches of whole words.
 
-    A snippet meets the phrases that begin with one of its words, by an equi-join on the first word. The vocabulary of
-    first words is small (a rule table's), so it is filtered for before that. Occurrences that a negator precedes do not
-    count, but for vetoes, which state the denial themselves.
+    Each place where some phrase's first word stands becomes a row with the few words before and after it, and meets the
+    phrases that begin so by an equi-join. Occurrences that a negator precedes do not count, but for vetoes, which state
+    the denial themselves. Phrase tables beyond FEW_PHRASES are joined by shuffle.
     """
-    firsts = phrases.agg(F.collect_set("first").alias("firsts"))
-    # a generator's output is computed once a row; the first words are one row
+    size = phrases.agg(F.count("*").alias("n"), F.max(F.size("words")).alias("longest")).first()
+    if not size["n"]:
+        return snippets.limit(0).select("place_id", "doc_id", F.lit("").alias("tag"), F.lit("").alias("phrase"), F.lit(False).alias("vetoes"), F.lit(0).alias("hits"))
+    few = size["n"] <= FEW_PHRASES
+    # a generator's output is computed once a row
     held = snippets.select("place_id", "doc_id", F.explode(F.array(T.tokens(F.col("text")))).alias("tokens"))
-    begun = held.crossJoin(F.broadcast(firsts)).withColumn("first", F.explode(F.array_intersect("tokens", "firsts"))).drop("firsts")
-    pairs = begun.join(F.broadcast(phrases), "first")
-    hits = F.when(F.col("vetoes"), F.size(T.phrase_starts(F.col("tokens"), F.col("words")))).otherwise(T.phrase_hits(F.col("tokens"), F.col("words")))
-    return pairs.select("place_id", "doc_id", "tag", "phrase", "vetoes", hits.alias("hits")).where("hits > 0")
+    at = F.transform("tokens", lambda w, i: F.struct(w.alias("first"), i.alias("at")))
+    if few:
+        firsts = [r["first"] for r in phrases.select("first").distinct().collect()]
+        at = F.filter(at, lambda x: x["first"].isin(*firsts))
+    near = lambda x: F.struct(x["first"].alias("first"), F.slice("tokens", x["at"] + 1, F.lit(size["longest"])).alias("after"), F.slice("tokens", F.greatest(F.lit(0), x["at"] - T.REACH) + 1, F.least(x["at"], F.lit(T.REACH))).alias("before"))
+    begun = held.select("place_id", "doc_id", F.inline(F.transform(at, near)))
+    pairs = begun.join(F.broadcast(phrases) if few else phrases, "first").where(F.slice("after", 1, F.size("words")) == F.col("words"))
+    counted = pairs.where(F.col("vetoes") | ~T.negated(F.col("before"), F.size("before")))
+    return counted.groupBy("place_id", "doc_id", "tag", "phrase", "vetoes").agg(F.count("*").cast("int").alias("hits"))
 
 
 def tag_shares(snippets: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -86,7 +98,7 @@ def tag_shares(snippets: DataFrame, phrases: DataFrame) -> DataFrame:
 def text_tags(snippets: DataFrame, phrases: DataFrame) -> DataFrame:
     """(place_id, tag, share) of the rules that fire: enough share, enough sentiment, and no veto anywhere."""
     rules = phrases.groupBy("tag").agg(F.max("share").alias("least"), F.max("sentiment").alias("floor"))
-    s = tag_shares(snippets, phrases).join(F.broadcast(rules), "tag")  # a row a rule
+    s = tag_shares(snippets, phrases).join(rules, "tag")
     ok = ~F.col("vetoed") & (F.col("n_phrases") > 0) & (F.col("share") >= F.col("least")) & (F.col("floor").isNull() | (F.col("mean_sentiment") >= F.col("floor")))
     return s.where(ok).select("place_id", "tag", F.round("share", 4).alias("share"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeweave import config as C
 from placeweave.functions import text as T
 from placeweave.functions.hours import clock, duration
 
@@ -36,12 +35,14 @@ def itinerary_lines(plan: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def unused_lines(plan: DataFrame, places: DataFrame, most: int = 8) -> list[str]:
-    """The first stops without a day with their reasons, and how many more there are."""
-    left = plan.where(F.col("day").isNull()).join(places.select("place_id", "name"), "place_id").select("name", "reason")
-    rows = left.limit(most).collect()
+    """The first stops without a day, by place_id, with their reasons, and how many more there are."""
+    left = plan.where(F.col("day").isNull()).join(places.select("place_id", "name"), "place_id").select("place_id", "name", "reason")
+    rows = left.orderBy("place_id").limit(most).collect()
     more = left.count() - len(rows)
     return [f"{r['name']} - {r['reason']}" for r in rows] + ([f"... and {more} more"] if more > 0 else [])
 
 
-def scale_note() -> str:
-    return f"scores run from 0 to {C.SCALE:.0f}; {100 * C.NEUTRAL:.0f} is unremarkable"
+def breakdown_lines(composite: DataFrame) -> DataFrame:
+    """(place_id, line): how a composite score comes about."""
+    line = F.format_string("score %.1f of 100 = base %.4f (confidence %.4f in evidence %.4f) + bonus %.4f (agreement %.4f of %d sources)", "score", "base", "confidence", "evidence", "bonus", "agreement", "source_count")
+    return composite.select("place_id", line.alias("line"))

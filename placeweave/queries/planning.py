@@ -41,7 +41,7 @@ def block_pairs_whole(spark: SparkSession, sf: str) -> DataFrame:
 def _decided(spark: SparkSession, sf: str) -> DataFrame:
     places = V.places(spark, sf)
     pairs = R.with_keys(R.near_pairs(places, C.MERGE_RADIUS_M), places)
-    return R.decide(pairs, T.jaccard(T.trigrams(F.col("left_key")), T.trigrams(F.col("right_key"))))
+    return R.decide(R.trigram_similarity(pairs), F.col("fuzzy"))
 
 
 def pair_decision(spark: SparkSession, sf: str) -> DataFrame:

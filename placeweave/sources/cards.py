@@ -131,4 +131,5 @@ def card_places(found: DataFrame, city: str, country: str) -> DataFrame:
     return p.select(
         F.lit("blog").alias("source"), T.synthetic_id("blog", F.col("target_id"), F.lower("name"), where).alias("source_place_id"), "name", F.lit(city).alias("city"), F.lit(country).alias("country_code"), "category", "lat", "lng", "address",
         T.price_tier(F.col("price_text")).alias("price_tier"), H.parse_text(F.col("hours_text")).alias("hours"), "url", "section", F.col("content").alias("evidence_text"),
+        F.when(F.col("content").isNotNull(), F.array(F.struct(F.col("content").alias("text"), F.col("url").alias("url"), F.lit(1.0).alias("weight")))).alias("evidence"),
     )

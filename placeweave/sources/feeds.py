@@ -32,7 +32,7 @@ LISTING_SCHEMA = (
 _EVIDENCE = "array<struct<text: string, url: string, weight: double>>"
 
 
-def _first_seen(df: DataFrame, key: str) -> DataFrame:
+def first_seen(df: DataFrame, key: str) -> DataFrame:
     """One row a key, the one that comes first by `seq`. The smallest seq is pre-aggregated."""
     return df.join(df.groupBy(key).agg(F.min("seq").alias("seq")), [key, "seq"], "left_semi")
 
@@ -44,8 +44,8 @@ def _struct_text(texts: Column) -> Column:
 def map_places(payloads: DataFrame, city: str, country: str, fetched_at: Column) -> DataFrame:
     """Raw places of search payloads(places, seq) of MAP_SCHEMA: the first of each id; without coordinates or a name there is none."""
     p = payloads.select("seq", F.posexplode("places").alias("at", "p"))
-    p = p.select((F.col("seq") * 1_000_000 + F.col("at")).alias("seq"), "p.*").where("id IS NOT NULL")
-    p = _first_seen(p, "id").where("location.latitude IS NOT NULL AND location.longitude IS NOT NULL AND displayName.text <> ''")
+    p = p.select(F.struct(F.col("seq").alias("payload"), "at").alias("seq"), "p.*").where("id IS NOT NULL")
+    p = first_seen(p, "id").where("location.latitude IS NOT NULL AND location.longitude IS NOT NULL AND displayName.text <> ''")
     types = F.coalesce("types", F.expr("CAST(array() AS array<string>)"))
     summary = F.col("editorialSummary.text")
     tier = None
@@ -69,8 +69,8 @@ def with_details(businesses: DataFrame, details: DataFrame, reviews: DataFrame,
 
 def explode_listings(payloads: DataFrame) -> DataFrame:
     """One row a business of payloads(businesses, seq) of LISTING_SCHEMA, the first of each id."""
-    b = payloads.select("seq", F.posexplode("businesses").alias("at", "b")).select((F.col("seq") * 1_000_000 + F.col("at")).alias("seq"), "b.*")
-    return _first_seen(b.where("id IS NOT NULL AND id <> ''"), "id")
+    b = payloads.select("seq", F.posexplode("businesses").alias("at", "b")).select(F.struct(F.col("seq").alias("payload"), "at").alias("seq"), "b.*")
+    return first_seen(b.where("id IS NOT NULL AND id <> ''"), "id")
 
 
 def listing_places(businesses: DataFrame, city: str, country: str, fetched_at: Column) -> DataFrame:
@@ -165,6 +165,18 @@ def select_targets(targets: DataFrame, wanted: list[str], slug: str) -> DataFram
     return targets.where(F.col("target_id").isin(*wanted) | F.col("target_id").endswith(f"-{slug}"))
 
 
+def cache_write(cache: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
+    """cache(namespace, digest, fetched_at, body) with entries(namespace, key, body) in place of those of the same key; of repeated keys the largest body."""
+    new = entries.withColumn("digest", cache_key(F.col("key"))).groupBy("namespace", "digest").agg(F.max("body").alias("body")).withColumn("fetched_at", now)
+    return cache.join(new.select("namespace", "digest"), ["namespace", "digest"], "left_anti").unionByName(new)
+
+
+def cache_entries(cache: DataFrame, namespace: str, now: Column, ttl_s: int = CACHE_TTL_S) -> DataFrame:
+    """(digest, fetched_at, fresh, n_chars) of a namespace's entries, the newest first."""
+    fresh = (F.unix_timestamp(now) - F.unix_timestamp("fetched_at") <= ttl_s) & F.try_parse_json("body").isNotNull()
+    return cache.where(F.col("namespace") == namespace).select("digest", "fetched_at", F.coalesce(fresh, F.lit(False)).alias("fresh"), F.length("body").alias("n_chars")).orderBy(F.desc("fetched_at"), "digest")
+
+
 def absolute_url(href: Column, base: Column) -> Column:
     """A link made absolute."""
     root = F.regexp_extract(base, r"^(https?://[^/]+)", 1)

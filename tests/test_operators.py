@@ -64,10 +64,10 @@ def test_components_against_union_find(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
-    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def make_records(n, seed):
