@@ -1,8 +1,11 @@
 """Command line over a folder of Parquet tables: places, signals, evidence, reviews and runs.
 
-    python -m placeweave.cli --data DIR score|tag|resolve|status|review|provenance|explain|itinerary ...
+    python -m placeweave.cli --data DIR ingest --feeds DIR --city CITY ...
+    python -m placeweave.cli --data DIR score|tag|resolve|status|review|provenance|explain|itinerary|documents|health ...
 
-`score`, `tag` and `resolve` write a new table next to the old ones (places_scored, places_tagged, resolved), the others print.
+`ingest` reads the feeds' folders that there are (google_places and yelp: JSON payloads; blog: a Parquet table of pages(target_id,
+url, html); reddit: JSON threads) and replaces the tables by those after the batch. `score`, `tag`, `resolve` and `documents`
+write a new table next to the old ones (places_scored, places_tagged, resolved, place_documents), the others print.
 """
 
 from __future__ import annotations
@@ -14,8 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave.operators import browse, resolve, scoring, tagging
+from placeweave.operators.graph import cut
 from placeweave.operators.keywords import keywords, stop_words
-from placeweave.plans import itinerary, report
+from placeweave.plans import documents, ingest, itinerary, report
+from placeweave.plans.ingest import conform
+from placeweave.sources import cards, comments, feeds, mentions
 
 
 class Store:
@@ -35,11 +41,58 @@ class Store:
     def write(self, df: DataFrame, name: str) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
 
+    def _files(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def has(self, path: str) -> bool:
+        at, files = self._files(path)
+        return files.exists(at)
+
+    def replace(self, tables: dict[str, DataFrame]) -> None:
+        """Tables made from those of the same names: all are written beside them first, then each takes its place."""
+        for name, df in tables.items():
+            self.write(df, f"{name}.next")
+        for name in tables:
+            old, files = self._files(f"{self.path}/{name}")
+            files.delete(old, True)
+            if not files.rename(self._files(f"{self.path}/{name}.next")[0], old):
+                raise OSError(f"{name}.next could not take the place of {name}")
+
 
 def now_of(args: argparse.Namespace) -> Column:
     return F.lit(args.now or dt.datetime.now(dt.UTC).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
 
 
+def ingest_feeds(s: Store, args: argparse.Namespace) -> None:
+    spark, now, country = s.spark, now_of(args), args.country
+    read = {
+        "google_places": lambda p: feeds.map_places(feeds.read_maps(spark, p), args.city, country, now),
+        "yelp": lambda p: feeds.listing_places(feeds.explode_listings(feeds.read_listings(spark, p)), args.city, country, now),
+        "blog": lambda p: cards.card_places(cards.cards(spark.read.parquet(p)), args.city, country),
+        "reddit": lambda p: mentions.raw_signals(mentions.aggregate(mentions.extract(comments.documents(comments.read_threads(spark, p))), args.city.lower()), args.city),
+    }
+    sources = [feeds.Source(name, None, lambda f=f, p=f"{args.feeds}/{name}": f(p)) for name, f in read.items() if s.has(f"{args.feeds}/{name}")]
+    found, runs = feeds.run_all(spark, sources, args.city, args.now or dt.datetime.now(dt.UTC).strftime("%Y-%m-%d %H:%M:%S"))
+    if not found:
+        raise SystemExit(f"No feed could be read in {args.feeds}.")
+    known = [conform(s.read(n), schema) if s.has(f"{s.path}/{n}") else spark.createDataFrame([], schema) for n, schema in (("places", ingest.PLACES), ("signals", ingest.SIGNALS), ("evidence", ingest.EVIDENCE), ("reviews", ingest.REVIEWS))]
+    out = ingest.ingest(feeds.union_sources({n: conform(df, ingest.RAW).drop("source_rank") for n, df in found.items()}), ingest.Tables(*known))
+    rows = cut(ingest.run_rows(runs, out.outcomes))
+    all_runs = s.read("runs").unionByName(rows, allowMissingColumns=True) if s.has(f"{s.path}/runs") else rows
+    s.replace({"places": out.places, "signals": out.signals, "evidence": out.evidence, "reviews": out.reviews, "runs": all_runs})
+    for r in ingest.summary_lines(rows).orderBy("source").collect():
+        print(r["line"])
+
+
+def write_documents(s: Store, args: argparse.Namespace) -> None:
+    s.write(documents.place_documents(s.read("places_tagged", "places_scored"), s.read("signals")), "place_documents")
+
+
+def check_health(s: Store, args: argparse.Namespace) -> None:
+    print(browse.health(s.spark).first()["status"])
+
+
 def score(s: Store, args: argparse.Namespace) -> None:
     s.write(scoring.rescore(s.read("places"), s.read("signals"), now_of(args)), "places_scored")
 
@@ -81,7 +134,8 @@ def explain(s: Store, args: argparse.Namespace) -> None:
     print(place["name"])
     for r in report.signal_lines(scored, F.lit(total)).orderBy(F.desc("weight")).select("line").collect():
         print("  " + r["line"])
-    print(scoring.composite(scored).first())
+    for r in report.breakdown_lines(scoring.composite(scored)).collect():
+        print("  " + r["line"])
 
 
 def plan(s: Store, args: argparse.Namespace) -> None:
@@ -98,7 +152,7 @@ def plan(s: Store, args: argparse.Namespace) -> None:
         print("- " + line)
 
 
-COMMANDS = {"score": score, "tag": tag, "resolve": resolve_records, "status": status, "review": review, "provenance": provenance, "explain": explain, "itinerary": plan}
+COMMANDS = {"ingest": ingest_feeds, "documents": write_documents, "health": check_health, "score": score, "tag": tag, "resolve": resolve_records, "status": status, "review": review, "provenance": provenance, "explain": explain, "itinerary": plan}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -107,6 +161,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     p.add_argument("command", choices=COMMANDS)
     p.add_argument("name", nargs="?")
     p.add_argument("--city", default="")
+    p.add_argument("--country")
+    p.add_argument("--feeds", default="feeds")
     p.add_argument("--now")
     p.add_argument("--limit", type=int, default=50)
     p.add_argument("--start", default=dt.date.today().isoformat())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placeweave import config as C
@@ -103,6 +103,26 @@ def text_tags(snippets: DataFrame, phrases: DataFrame) -> DataFrame:
     return s.where(ok).select("place_id", "tag", F.round("share", 4).alias("share"))
 
 
+#: Snippets that show why a tag was given, and their characters.
+SAMPLES, SAMPLE_CHARS = 3, 220
+
+
+def tag_samples(snippets: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(place_id, tag, samples): the first SAMPLES snippets, by doc_id, that speak for each tag, cut to SAMPLE_CHARS. They are cut before they are gathered."""
+    kept = snippets.where(F.trim("text") != "")
+    speaks = phrase_matches(kept, phrases).where(~F.col("vetoes")).select("place_id", "doc_id", "tag").distinct()
+    w = Window.partitionBy("place_id", "tag").orderBy("doc_id")
+    first = speaks.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLES)
+    text = kept.select("place_id", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    return first.join(text, ["place_id", "doc_id"]).groupBy("place_id", "tag").agg(F.array_sort(F.collect_list(F.struct("r", "text"))).alias("s")).select("place_id", "tag", F.col("s.text").alias("samples"))
+
+
+def merged_fields(base: Column, over: Column) -> Column:
+    """A map of base's entries with over's in place of those of the same key."""
+    kept = F.map_filter(base, lambda k, _: ~F.coalesce(F.map_contains_key(over, k), F.lit(False)))
+    return F.coalesce(F.map_concat(kept, over), base)
+
+
 def price_tag(tier: Column) -> Column:
     out = None
     for t, name in C.PRICE_TAGS.items():

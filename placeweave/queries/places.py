@@ -70,7 +70,7 @@ def signals_per_place(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def status_counters(spark: SparkSession, sf: str) -> DataFrame:
-    reviews = spark.createDataFrame([], "left_id long, right_id long, confidence double, resolved boolean")
+    reviews = V.table(spark, sf, "orders").select((F.col("o_orderkey") % 3 == 0).alias("resolved"))
     return browse.status(V.scored_places(spark, sf), V.signals(spark, sf), reviews, "city-0")
 
 
@@ -119,7 +119,7 @@ ORACLE_SQL = {
         V.PLACES, V.SIGNALS, _RUNS,
     ),
     "signals_per_place": V.with_views("SELECT place_id, coalesce(n, 0) AS source_count, coalesce(sources, '') AS sources FROM v_place LEFT JOIN (SELECT place_id, count(DISTINCT source) AS n, string_agg(source, ',' ORDER BY source) AS sources FROM v_signal GROUP BY 1) USING (place_id)", V.PLACES, V.SIGNALS),
-    "status_counters": V.with_views("SELECT count(*) AS total, count(*) AS canonical, count(score) AS scored, count(*) FILTER (WHERE len(tags) > 0) AS tagged, (SELECT count(*) FROM (SELECT place_id FROM v_signal GROUP BY 1 HAVING count(DISTINCT source) > 1)) AS multi, 0::BIGINT AS pending FROM v_full WHERE city = 'city-0'", *ALL),
+    "status_counters": V.with_views("SELECT count(*) AS total, count(*) AS canonical, count(score) AS scored, count(*) FILTER (WHERE len(tags) > 0) AS tagged, (SELECT count(*) FROM (SELECT place_id FROM v_signal GROUP BY 1 HAVING count(DISTINCT source) > 1)) AS multi, (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0) AS pending FROM v_full WHERE city = 'city-0'", *ALL),
     "tag_chips": V.with_views(f"SELECT value, count(*) AS cnt FROM {_TAGS} GROUP BY 1 ORDER BY cnt DESC, value LIMIT 22", V.PLACES),
     "base_pins": V.with_views("SELECT place_id, round(3.0 + greatest(0.0, (score - 30.0) / 16.0), 5)::DOUBLE AS radius FROM v_full WHERE NOT score > 60", *ALL),
     "place_violations": V.with_views("SELECT place_id, concat_ws(',', CASE WHEN p > 4 THEN 'price_tier' END, CASE WHEN abs(l) > 90 THEN 'lat' END) AS broken FROM (SELECT place_id, price_tier + CASE WHEN place_id % 10 = 0 THEN 3 ELSE 0 END AS p, lat + CASE WHEN place_id % 17 = 0 THEN 60.0 ELSE 0.0 END AS l FROM v_place) WHERE coalesce(p > 4, false) OR abs(l) > 90", V.PLACES),

@@ -118,14 +118,28 @@ def signal_fold(spark: SparkSession, sf: str) -> DataFrame:
     e = V.table(spark, sf, "events")
     mentions = e.select(
         F.col("user_id").alias("place_id"), F.col("event_type").alias("source"), F.col("event_id").alias("seq"), ((F.col("event_id") % 201 - 100) / 100.0).alias("sentiment"), (F.col("event_id") % 50).alias("upvotes"),
-        F.lit(1).alias("mention_count"), (F.col("event_id") % 977).alias("thread_score"), F.lit(1).alias("review_count"), F.col("ts").alias("observed_at"), F.lit(None).cast("string").alias("url"),
+        F.lit(1).alias("mention_count"), (F.col("event_id") % 977).alias("thread_score"), F.lit(1).alias("review_count"), F.col("ts").alias("observed_at"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("u"), F.col("event_id"))).alias("url"),
     )
-    return resolve.fold_signals(mentions).select("place_id", "source", "mention_count", "upvotes", "thread_score", "review_count", "merged_mentions")
+    out = resolve.fold_signals(mentions)
+    return out.select("place_id", "source", "mention_count", "upvotes", "thread_score", "review_count", "merged_mentions", F.round("sentiment", 3).alias("sentiment"), F.unix_timestamp("observed_at").alias("observed_s"), "url")
+
+
+def tag_samples(spark: SparkSession, sf: str) -> DataFrame:
+    out = tagging.tag_samples(V.evidence(spark, sf), tagging.phrase_table(spark, CORPUS_RULES))
+    return out.select("place_id", "tag", F.size("samples").cast("long").alias("n"), F.sha1(F.array_join("samples", "|")).alias("digest"))
+
+
+def map_merge(spark: SparkSession, sf: str) -> DataFrame:
+    s = V.signals(spark, sf)
+    base = F.create_map(F.lit("review_count"), F.col("review_count").cast("string"), F.lit("kind"), F.lit("base"))
+    over = F.when(F.col("source") == "reddit", F.create_map(F.lit("upvotes"), F.col("upvotes").cast("string"), F.lit("kind"), F.lit("extra")))
+    merged = tagging.merged_fields(base, over)
+    return s.select("place_id", "source", merged["review_count"].alias("review_count"), merged["kind"].alias("kind"), F.try_element_at(merged, F.lit("upvotes")).alias("upvotes"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (name_key, name_anchors, accents, trigram_lookup, evidence_dedup, synthetic_ids, phrase_hits, tag_share, text_tags, tfidf_keywords, structural_tags, consensus_tags, retag, open_intervals, open_during, earliest_open, effective_hours, comment_flatten, signal_fold)
+    for f in (name_key, name_anchors, accents, trigram_lookup, evidence_dedup, synthetic_ids, phrase_hits, tag_share, text_tags, tfidf_keywords, structural_tags, consensus_tags, retag, open_intervals, open_during, earliest_open, effective_hours, comment_flatten, signal_fold, tag_samples, map_merge)
 }
 
 
@@ -202,5 +216,10 @@ FROM v_full LEFT JOIN (SELECT place_id, max(review_count) FILTER (WHERE source =
     "earliest_open": V.with_views(f"SELECT place_id, weekday, CASE WHEN open_min IS NULL THEN 540 WHEN weekday <> closed_day AND close_min > 540 THEN greatest(open_min, 540) END AS minute FROM {_DAYS}", V.PLACES),
     "effective_hours": V.with_views("SELECT place_id, open_min IS NULL AND category NOT IN ('hotel', 'other') AS assumed, CASE WHEN open_min IS NOT NULL THEN CASE WHEN closed_day <> 2 THEN open_min END ELSE CASE category WHEN 'restaurant' THEN 780 WHEN 'cafe' THEN 510 WHEN 'bar' THEN 1080 WHEN 'nightlife' THEN 1380 WHEN 'museum' THEN 600 WHEN 'shopping' THEN 600 WHEN 'attraction' THEN 540 WHEN 'park' THEN 420 END END AS opens FROM v_place", V.PLACES),
     "comment_flatten": "WITH RECURSIVE t AS (SELECT conv_id, turn, 0 AS depth FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1) UNION ALL SELECT c.conv_id, c.turn, t.depth + 1 FROM conversations c JOIN t ON c.conv_id = t.conv_id AND c.turn = t.turn + 1) SELECT conv_id, turn, CAST(depth AS INTEGER) AS depth FROM t",
-    "signal_fold": "SELECT user_id AS place_id, event_type AS source, count(*) AS mention_count, CAST(sum(event_id % 50) AS BIGINT) AS upvotes, max(event_id % 977) AS thread_score, count(*) AS review_count, CAST(count(*) AS INTEGER) AS merged_mentions FROM events GROUP BY 1, 2",
+    "signal_fold": """SELECT place_id, source, mention_count, upvotes, thread_score, review_count, merged_mentions, observed_s, url,
+  round(CASE WHEN len(items) = 1 THEN items[1].s ELSE list_reduce(items, lambda a, x: struct_pack(s := round_even((a.s * (a.u + 1) + x.s * (x.u + 1)) / (a.u + x.u + 2), 4)::DOUBLE, u := a.u + x.u)).s END, 3) AS sentiment
+FROM (SELECT user_id AS place_id, event_type AS source, count(*) AS mention_count, CAST(sum(event_id % 50) AS BIGINT) AS upvotes, max(event_id % 977) AS thread_score, count(*) AS review_count, CAST(count(*) AS INTEGER) AS merged_mentions,
+  CAST(floor(epoch(max(ts))) AS BIGINT) AS observed_s, first('u' || event_id ORDER BY event_id) FILTER (WHERE event_id % 3 = 0) AS url, list(struct_pack(s := (event_id % 201 - 100) / 100.0::DOUBLE, u := event_id % 50) ORDER BY event_id) AS items FROM events GROUP BY 1, 2)""",
+    "tag_samples": V.with_views("SELECT place_id, tag, count(*) AS n, sha1(string_agg(substring(text, 1, 220), '|' ORDER BY doc_id)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY place_id, tag ORDER BY doc_id) AS r FROM v_doc WHERE speaks) JOIN v_evidence USING (place_id, doc_id) WHERE r <= 3 GROUP BY 1, 2", V.EVIDENCE, _HITS),
+    "map_merge": V.with_views("SELECT place_id, source, CAST(review_count AS VARCHAR) AS review_count, CASE WHEN source = 'reddit' THEN 'extra' ELSE 'base' END AS kind, CAST(upvotes AS VARCHAR) AS upvotes FROM v_signal", V.SIGNALS),
 }
