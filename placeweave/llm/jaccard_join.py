@@ -4,14 +4,18 @@
    ordered by (count, hash), rare ones first. A pair at the threshold shares one of its first n - ceil(t n) + 1 shingles.
 2. Texts with equal prefixes and sizes form a group; prefixes are compared between groups only.
 3. Groups that share a prefix shingle of up to SMALL groups become pairs, which sizes, places in the prefixes and bitmaps of
-   the sets filter. Those of a more common shingle are chained through its smallest group, so it gives as many rows as it
-   has groups, not as many as it has pairs. Connected pairs and chains hold all candidates.
-4. These are expanded to their distinct sets and verified exactly, in blocks of bounded size against each other, inside
-   tasks: what leaves a task is a number of links and a root for each member, never a list of pairs.
+   the sets filter. Each pair that is left is a cell: the sets of one group against those of the other.
+4. A shingle of more groups would give pairs without a bound. Its groups of like size (a pair's sizes differ by one class at
+   most) are chained through the smallest one, so it gives as many rows as it has groups. A chained unit against itself, and
+   against the unit of the next size class, are cells too; pairs of groups that such a cell compares are no cells of their own.
+5. Cells are expanded to their distinct sets and verified exactly, in blocks of bounded size against each other, inside
+   tasks: what leaves a task is a number of links and a root for each set, never a list of pairs. Only verified links are
+   closed to components.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.llm.common import mix, shingle_sets
-from placeweave.operators.graph import connected_components, cut, fresh_path, skew_join
+from placeweave.operators.graph import connected_components, cut, fresh_path, remove, skew_join
 
 #: Counters of the sketch of shingle counts, and the pieces in which its parts are added up.
 SKETCH, PIECES = 1 << 20, 64
@@ -30,7 +34,7 @@ SMALL = 32
 #: Bits of a set's bitmap, a multiple of 64.
 BITS = 2048
 #: Sets of a block; a task holds two blocks.
-BLOCK = 256
+BLOCK = 128
 
 
 def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
@@ -132,8 +136,10 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: int)
 
 def _verify(num: int, den: int):
     def run(group: pa.Table) -> pa.Table:
-        nodes, copies, block = group["node"].to_numpy(), group["copies"].to_numpy(), group["block"].to_numpy()
-        side = block if group["i"][0].as_py() != group["j"][0].as_py() else None
+        nodes, copies = group["node"].to_numpy(), group["copies"].to_numpy()
+        # blocks of two units, or two blocks of one, are compared across; a block by itself within
+        across = group["x"][0].as_py() != group["y"][0].as_py() or group["i"][0].as_py() != group["j"][0].as_py()
+        side = group["side"].to_numpy() if across else None
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in group["members"]]
         root, links = list(range(len(nodes))), np.zeros(len(nodes), np.int64)
 
@@ -174,11 +180,13 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     sets = graph.groupBy("f", "g", "n", "p", "q").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     groups = graph.groupBy("n", "p", "q").agg(F.min("doc_id").alias("gid"), F.any_value("prefix").alias("prefix"), F.any_value("bitmap").alias("bitmap"), ((F.min("f") == F.max("f")) & (F.min("g") == F.max("g"))).alias("single"))
 
-    entries = groups.select("gid", "n", F.posexplode("prefix").alias("at", "shingle"))
-    hubs = entries.groupBy("shingle").agg(F.min("gid").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    path = fresh_path(spark, "shared")
-    skew_join(entries, hubs, "shingle").select("shingle", "gid", "n", "at", "hub", "m").write.parquet(path)
-    shared = spark.read.parquet(path)
+    # sizes of a pair that links differ by a factor of den / num at most, so by one class
+    size_class = F.floor(F.log(F.col("n")) / (1.0001 * math.log(den / num))).alias("class") if num < den else F.col("n").alias("class")
+    entries = groups.select("gid", "n", size_class, F.posexplode("prefix").alias("at", "shingle"))
+    hubs = entries.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1")
+    shared_path, seats_path = fresh_path(spark, "shared"), fresh_path(spark, "seats")
+    skew_join(entries, hubs, "shingle").select("shingle", "gid", "n", "class", "at", "m").write.parquet(shared_path)
+    shared = spark.read.parquet(shared_path)
     a = shared.where(F.col("m") <= SMALL).select("shingle", F.col("gid").alias("a"), F.col("n").alias("n1"), F.col("at").alias("i"))
     b = a.select(F.col("shingle").alias("other"), F.col("a").alias("b"), F.col("n1").alias("n2"), F.col("i").alias("j"))
     # shared shingles if this is the first one of both prefixes
@@ -189,31 +197,53 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     mapped = pairs.join(map_of("a"), "a").join(map_of("b"), "b")
     apart = F.aggregate(F.zip_with("a_map", "b_map", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     fits = ~(F.col("a_single") & F.col("b_single")) | similar(F.floor((F.col("n1") + F.col("n2") - apart) / 2))
-    chained = shared.where((F.col("m") > SMALL) & (F.col("gid") != F.col("hub"))).select(F.col("gid").alias("a"), F.col("hub").alias("b"))
-    chains = connected_components(mapped.where(fits).select("a", "b").union(chained))
-
-    of_group = groups.select("n", "p", "q", "gid").join(chains.withColumnRenamed("node", "gid"), "gid", "left").select("n", "p", "q", F.coalesce("component", "gid").alias("chain"))
-    members = sets.join(of_group, ["n", "p", "q"]).select(F.col("rep").alias("node"), "copies", "chain")
-    members = cut(members)
-    counted = skew_join(members, members.groupBy("chain").agg(F.count("*").alias("m")).where("m > 1"), "chain")
-    blocks = F.ceil(F.col("m") / BLOCK)
-    counted = counted.select("node", "copies", "chain", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"))
+    pairs = cut(mapped.where(fits).select("a", "b"))
+
+    common = shared.where(F.col("m") > SMALL)
+    first = cut(common.groupBy("shingle", "class").agg(F.min("gid").alias("hub")))
+    third = lambda df: df.withColumn("k", F.xxhash64("shingle", "class"))  # noqa: E731  keeps the aggregate's own partitioning from serving the join
+    chained = third(common).join(third(first), ["shingle", "class", "k"]).where("gid <> hub").select(F.col("gid").alias("a"), F.col("hub").alias("b")).distinct()
+    units = cut(connected_components(chained))
+    unit_of = lambda x, name: units.select(F.col("node").alias(x), F.col("component").alias(name))
+    # one unit has all groups of a shingle and a class
+    placed = first.join(unit_of("hub", "u"), "hub", "left").select("shingle", "class", F.coalesce("u", "hub").alias("unit"))
+    beside = placed.select("shingle", (F.col("class") - 1).alias("class"), F.col("unit").alias("next"))
+    crossed = cut(placed.join(beside, ["shingle", "class"]).select(F.least("unit", "next").alias("x"), F.greatest("unit", "next").alias("y")).where("x <> y").distinct())
+
+    own = pairs.join(unit_of("a", "u"), "a", "left").join(unit_of("b", "v"), "b", "left").select("a", "b", F.coalesce("u", "a").alias("u"), F.coalesce("v", "b").alias("v")).where("u <> v")
+    own = own.withColumns({"x": F.least("u", "v"), "y": F.greatest("u", "v")}).join(crossed, ["x", "y"], "left_anti").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    of_group = groups.select("n", "p", "q", "gid").join(unit_of("gid", "unit"), "gid", "left").select("n", "p", "q", "gid", F.coalesce("unit", "gid").alias("unit"))
+    members = cut(sets.join(of_group, ["n", "p", "q"]).select(F.col("rep").alias("node"), "copies", "gid", "unit"))
+
+    def seats(cells: DataFrame, key: str) -> DataFrame:
+        """Rows (node, copies, kind, x, y, side, block, blocks_x, blocks_y) of the sets of cells(x, y) of groups or units."""
+        blocks = members.groupBy(F.col(key).alias("x")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        sized = cells.join(blocks.withColumnRenamed("blocks", "blocks_x"), "x").join(blocks.select(F.col("x").alias("y"), F.col("blocks").alias("blocks_y")), "y")
+        both = sized.select(F.col("x").alias(key), "x", "y", "blocks_x", "blocks_y", F.lit(0).alias("side")).union(sized.where("x <> y").select("y", "x", "y", "blocks_x", "blocks_y", F.lit(1)))
+        block = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("blocks_x")).otherwise(F.col("blocks_y")))
+        return skew_join(members.select("node", "copies", key), both, key).select("node", "copies", F.lit(key).alias("kind"), "x", "y", "side", block.alias("block"), "blocks_x", "blocks_y")
+
+    within = members.groupBy("unit").agg(F.count("*").alias("m")).where("m > 1").select(F.col("unit").alias("x"), F.col("unit").alias("y"))
+    seats(own, "gid").union(seats(within.union(crossed), "unit")).write.parquet(seats_path)
+    seated = spark.read.parquet(seats_path)
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = batch.select(["node", "copies", "chain", "blocks", "block"])
             for at in range(0, batch.num_rows, 512):
                 found = [s.tobytes() for _, s in shingle_sets(batch.column("text").slice(at, 512), k)]
-                part = rest.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*part.schema.names, "members"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, 512), pa.array(found, pa.binary())], ["node", "members"])
 
     texts = docs.select(F.col("doc_id").alias("node"), "text").where("doc_id IS NOT NULL")
-    held = texts.join(counted, "node").select("node", "copies", "chain", "blocks", "block", "text")
-    held = held.mapInArrow(as_sets, "node long, copies long, chain long, blocks long, block long, members binary")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    pairs = held.withColumn("other", other).select("node", "copies", "chain", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "members")
-    found = pairs.groupBy("chain", "i", "j").applyInArrow(_verify(num, den), "node long, root long, links long")
+    held = texts.join(seated.select("node").distinct(), "node", "left_semi").mapInArrow(as_sets, "node long, members binary")
+    # a set of a unit meets each block of the other unit, or its own block and all others of its unit
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    inside = F.transform(every(F.col("blocks_x")), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
+    across = F.when(F.col("side") == 0, F.transform(every(F.col("blocks_y")), lambda o: F.struct(F.col("block").alias("i"), o.alias("j"), F.lit(0).alias("side")))).otherwise(F.transform(every(F.col("blocks_x")), lambda o: F.struct(o.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))))
+    cells = seated.join(held, "node").select("node", "copies", "kind", "x", "y", F.inline(F.when(F.col("x") == F.col("y"), inside).otherwise(across)), "members")
+    found = cells.groupBy("kind", "x", "y", "i", "j").applyInArrow(_verify(num, den), "node long, root long, links long")
     found = cut(found)
+    for path in (shared_path, seats_path):
+        remove(spark, path)
 
     versions = graph.join(sets.select("f", "g", "n", "rep"), ["f", "g", "n"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     same = versions.select("a", "b").union(versions.select("doc_id", "a"))
@@ -227,10 +257,10 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         .select("f", "g", "n", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     )
     # a set with very many copies: its rows of the left side may be split over tasks
-    third = lambda df: df.withColumn("k", F.xxhash64("f"))
-    light = third(rows.select("doc_id", "n", "f", "g")).alias("l")
+    fourth = lambda df: df.withColumn("k", F.xxhash64("f"))
+    light = fourth(rows.select("doc_id", "n", "f", "g")).alias("l")
     known = F.col("doc_id").isNotNull()
-    return light.join(third(of_set), ["f", "g", "n", "k"], "left").select(
+    return light.join(fourth(of_set), ["f", "g", "n", "k"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(known, F.coalesce("component", "doc_id")).alias("component_id"),

@@ -251,15 +251,15 @@ def piece_table(spark: SparkSession, model: str) -> DataFrame:
     return spark.createDataFrame([(p, i, ranks[s]) for p, i, s in rows], "piece string, id int, rank int")
 
 
-def fold_words(words: DataFrame, table: DataFrame, longest: int = 16) -> DataFrame:
+def fold_words(words: DataFrame, table: DataFrame) -> DataFrame:
     """(word, pieces) of distinct words(word), each beginning with its mark of a space: the lattice in rows.
 
-    Words are exploded into substrings of at most `longest` characters, these joined to the piece table (of a fixed size),
+    Words are exploded into substrings no longer than the longest piece, these joined to the piece table (of a fixed size),
     the edges grouped by word, and a higher-order aggregate takes the best merge of two neighbours as often as there is one.
     A null or empty word is left out; characters that are no piece stay as they are.
     """
     w = words.select("word").where("word <> ''").distinct()
-    n = F.length("word")
+    n, longest = F.length("word"), table.agg(F.max(F.length("piece"))).first()[0] or 1
     starts = w.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     spans = starts.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s")))).alias("size"))
     edges = spans.select("word", "s", (F.col("s") + F.col("size")).alias("t"), F.substring(F.col("word"), F.col("s") + 1, F.col("size")).alias("piece")).where("size > 1").join(F.broadcast(table), "piece")

@@ -108,6 +108,18 @@ def test_jaccard_classes(spark, monkeypatch, k, num, den, small, block):
     assert got == brute_classes(rows, k, num, den)
 
 
+def test_jaccard_of_very_common_shingles(spark, monkeypatch):
+    """Lists longer than SMALL over several size classes, units against each other, and groups of several sets."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(21)
+    common = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, " ".join([common, *(f"t{j}" for j in range(rng.randint(0, 30))), *(f"u{rng.randint(0, 3)}" for _ in range(rng.randint(0, 4)))])) for i in range(90)]
+    rows += [(200 + i, t) for i, (_, t) in enumerate(near_copies(5, 60))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.jaccard_classes(table(spark, rows), 3, 85, 100).collect()}
+    assert got == brute_classes(rows, 3, 85, 100)
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(1, "a b c d e"), (1, "v w x y z"), (2, "v w x y z"), (3, "a b c d e"), (None, "a b c d e"), (3, "a b c d e")]
     got = sorted((repr(r["doc_id"]), r["component_id"]) for r in jaccard_join.jaccard_classes(table(spark, rows), 4, 85, 100).collect())
