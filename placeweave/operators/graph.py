@@ -18,6 +18,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of rows that are costly to work on, dealt out anew only if its few files would leave cores idle; large tables are read where they lie."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once, its lineage cut by a reliable checkpoint in the shared folder; lost executors cost nothing."""
     shared_dir(df.sparkSession)

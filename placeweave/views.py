@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave import config as C
+from placeweave.operators.graph import spread
 
 #: Observation time of the derived signals' scores.
 NOW = "2002-01-01 00:00:00"
@@ -107,7 +108,7 @@ v_signal AS (
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(place_id, doc_id, text, weight): documents dealt to places by their id."""
     parts = table(spark, sf_dir, "part").agg(F.count("*").alias("n_places"))
-    docs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(parts))  # one row
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).crossJoin(F.broadcast(parts))  # one row
     return docs.select((F.col("doc_id") % F.col("n_places")).alias("place_id"), "doc_id", "text", (1 + F.col("doc_id") % 7).cast("double").alias("weight"))
 
 
