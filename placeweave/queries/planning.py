@@ -23,18 +23,8 @@ def near_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return R.near_pairs(V.places(spark, sf), C.MERGE_RADIUS_M).select("left_id", "right_id", F.round("distance_m", 3).alias("distance_m"))
 
 
-def _few(spark: SparkSession, sf: str) -> DataFrame:
-    """Places with names of their own, so that name blocking has something to tell apart."""
-    return V.places(spark, sf).withColumn("name", F.concat("name", F.lit(" "), F.substring(F.sha1(F.col("place_id").cast("string")), 1, 6)))
-
-
 def block_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Held to SQL: a smaller radius, a higher similarity and names of their own. block_pairs_whole is the whole job."""
-    return R.block_pairs(_few(spark, sf), radius_m=120.0, least=0.62)
-
-
-def block_pairs_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocking with the operator's own radius and similarity over the places' real names; tests hold it against all pairs."""
+    """Blocking with the operator's own radius and similarity over all places' names."""
     return R.block_pairs(V.places(spark, sf))
 
 
@@ -90,12 +80,7 @@ def candidate_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def travel_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """All legs between the first places of each city, as its SQL has them. travel_matrix_pool has those of a request."""
-    return _legs(V.places(spark, sf).where("place_id < 60"))
-
-
-def travel_matrix_pool(spark: SparkSession, sf: str) -> DataFrame:
-    """All legs between the places of a request's pool, a bounded number of rows; tests hold it against a loop."""
+    """All legs between the places of a request's pool, a bounded number of rows."""
     return _legs(_pool(spark, sf))
 
 
@@ -121,18 +106,8 @@ def projected(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(origin, "city").select("place_id", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
 
 
-def cluster_medoid(spark: SparkSession, sf: str) -> DataFrame:
-    """Medoids among the first places, as its SQL has them. cluster_medoid_whole has those of all places."""
-    p = V.places(spark, sf).where("place_id < 1000")
-    a = p.select("city", "category", "place_id", F.col("lat").alias("a"), F.col("lng").alias("b"))
-    b = p.select("city", "category", F.col("lat").alias("c"), F.col("lng").alias("d"))
-    total = a.join(b, ["city", "category"]).groupBy("city", "category", "place_id").agg(F.round(F.sum(geo.haversine_m(F.col("a"), F.col("b"), F.col("c"), F.col("d"))), 3).alias("total_m"))
-    best = total.groupBy("city", "category").agg(F.min(F.struct("total_m", "place_id")).alias("m"))
-    return best.select("city", "category", "m.place_id", "m.total_m")
-
-
-def cluster_medoid_whole(spark: SparkSession, sf: str, blocks: int = 16) -> DataFrame:
-    """The place of each city and category with the least distance to all others: exact sums, in blocks of pairs; tests hold it against a loop."""
+def cluster_medoid(spark: SparkSession, sf: str, blocks: int = 16) -> DataFrame:
+    """The place of each city and category with the least distance to all others: exact sums, in blocks of pairs."""
     p = V.places(spark, sf)
     block, every = F.pmod("place_id", F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = p.select("city", "category", "place_id", F.col("lat").alias("a"), F.col("lng").alias("b"), block.cast("int").alias("i"), every.alias("j"))
@@ -177,7 +152,7 @@ def itinerary_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (near_pairs, block_pairs, block_pairs_whole, pair_decision, review_queue, decision_counters, entity_resolution, name_only_resolution, enrich_fill, source_upsert, candidate_pool, travel_matrix, travel_matrix_pool, leg_minutes, projected, cluster_medoid, cluster_medoid_whole, day_shortlist, meal_quota, itinerary_plan, itinerary_totals)
+    for f in (near_pairs, block_pairs, pair_decision, review_queue, decision_counters, entity_resolution, name_only_resolution, enrich_fill, source_upsert, candidate_pool, travel_matrix, leg_minutes, projected, cluster_medoid, day_shortlist, meal_quota, itinerary_plan, itinerary_totals)
 }
 
 _D = distance_sql("a.lat", "a.lng", "b.lat", "b.lng")
@@ -189,21 +164,21 @@ v_conf AS (SELECT *, CASE WHEN distance_m <= 40 AND s >= 0.62 AND anchored THEN
   least(1.0, 0.55 * s + 0.45 * (1.0 / (1.0 + (distance_m / 90) * (distance_m / 90))) + CASE WHEN anchored THEN 0.05 ELSE 0.0 END)::DOUBLE AS confidence FROM v_pair WHERE s >= 0.55),
 v_dec AS (SELECT *, CASE WHEN rule IS NOT NULL THEN 'merged' WHEN confidence >= 0.62 AND s >= 0.60 THEN 'flagged' ELSE 'created' END AS decision FROM v_conf)"""
 _PAIRS = (V.PLACES, _NEAR, _KEYS, _DECIDED)
-_LONG = "v_few AS (SELECT place_id, city, lat, lng, k.key, " + grams_sql("k.key") + " AS grams FROM v_place JOIN (SELECT place_id AS id, " + key_sql("name || ' ' || substring(sha1(CAST(place_id AS VARCHAR)), 1, 6)") + " AS key FROM v_place) k ON k.id = place_id)"
+_POOL = "v_pool AS (SELECT place_id, city, lat, lng, score, tags FROM v_full WHERE city = 'city-3' AND category <> 'hotel' AND (price_tier IS NULL OR price_tier <= 3) AND NOT list_contains(tags, 'promo') ORDER BY score DESC, place_id LIMIT 72)"
 
 ORACLE_SQL = {
     "near_pairs": V.with_views("SELECT left_id, right_id, round(distance_m, 3) AS distance_m FROM v_near", V.PLACES, _NEAR),
-    "block_pairs": V.with_views(f"SELECT a.place_id AS left_id, b.place_id AS right_id FROM v_few a JOIN v_few b ON a.city = b.city AND a.place_id < b.place_id WHERE {_D} <= 120 OR {jaccard_sql('a.grams', 'b.grams')} > 0.62", V.PLACES, _LONG),
+    "block_pairs": V.with_views(f"SELECT a.place_id AS left_id, b.place_id AS right_id FROM (SELECT * FROM v_place JOIN v_key USING (place_id)) a JOIN (SELECT * FROM v_place JOIN v_key USING (place_id)) b ON a.city = b.city AND a.place_id < b.place_id WHERE {_D} <= 400 OR {jaccard_sql('a.grams', 'b.grams')} > 0.35", V.PLACES, _KEYS),
     "pair_decision": V.with_views("SELECT left_id, right_id, rule, round(confidence, 6) AS confidence, decision FROM v_dec", *_PAIRS),
     "review_queue": V.with_views("SELECT CASE WHEN CAST(left_id AS VARCHAR) < CAST(right_id AS VARCHAR) THEN left_id ELSE right_id END AS left_id, CASE WHEN CAST(left_id AS VARCHAR) < CAST(right_id AS VARCHAR) THEN right_id ELSE left_id END AS right_id, round(s, 6) AS similarity, round(confidence, 6) AS confidence FROM v_dec WHERE decision = 'flagged'", *_PAIRS),
     "decision_counters": V.with_views("SELECT decision, count(*) AS cnt FROM v_dec GROUP BY 1", *_PAIRS),
     "enrich_fill": V.with_views("SELECT place_id - place_id % 4 AS place_id, arg_min(name, v_place.place_id) AS name, arg_min(price_tier, v_place.place_id) FILTER (WHERE price_tier IS NOT NULL) AS price_tier, coalesce(arg_min(category, v_place.place_id) FILTER (WHERE category <> 'other'), 'other') AS category, arg_min(open_min, v_place.place_id) FILTER (WHERE open_min IS NOT NULL) AS open_min, count(*) AS n_records FROM v_place GROUP BY v_place.place_id - v_place.place_id % 4", V.PLACES),
     "source_upsert": V.with_views("SELECT place_id, source, CASE WHEN place_id % 3 = 0 THEN -1 ELSE review_count END AS review_count FROM v_signal", V.SIGNALS),
     "candidate_pool": V.with_views("SELECT place_id, round(score, 4) AS base, round(score * (1.0 + 0.35 * len(list_filter(tags, lambda t: t IN ('ring', 'small'))) / 2), 4)::DOUBLE AS boosted FROM v_full WHERE city = 'city-3' AND category <> 'hotel' AND (price_tier IS NULL OR price_tier <= 3) AND NOT list_contains(tags, 'promo') ORDER BY score DESC, place_id LIMIT 72", *ALL),
-    "travel_matrix": V.with_views(f"SELECT i, j, round(CASE WHEN i = j THEN 0 ELSE m * 1.35 / 4.2 + CASE WHEN m * 1.35 > 800 THEN 360 ELSE 0 END END, 3)::DOUBLE AS seconds FROM (SELECT a.place_id AS i, b.place_id AS j, {_D} AS m FROM v_place a JOIN v_place b ON a.city = b.city WHERE a.place_id < 60 AND b.place_id < 60)", V.PLACES),
+    "travel_matrix": V.with_views(f"SELECT i, j, round(CASE WHEN i = j THEN 0 ELSE m * 1.35 / 4.2 + CASE WHEN m * 1.35 > 800 THEN 360 ELSE 0 END END, 3)::DOUBLE AS seconds FROM (SELECT a.place_id AS i, b.place_id AS j, {_D} AS m FROM v_pool a JOIN v_pool b ON a.city = b.city)", *ALL, _POOL),
     "leg_minutes": V.with_views(f"SELECT city, place_id, \"to\", CAST(round_even(m * 1.35 / 1.25 / 60, 0) AS INTEGER) AS minutes FROM (SELECT a.city, a.place_id, b.place_id AS \"to\", {_D} AS m FROM (SELECT *, lead(place_id) OVER (PARTITION BY city ORDER BY place_id) AS nxt FROM v_place) a JOIN v_place b ON b.place_id = a.nxt)", V.PLACES),
     "projected": V.with_views("SELECT place_id, round(radians(lng - lng0) * 6371000.0::DOUBLE * cos(radians(lat0)), 2) AS x, round(radians(lat - lat0) * 6371000.0::DOUBLE, 2) AS y FROM v_place JOIN (SELECT city, avg(lat) AS lat0, avg(lng) AS lng0 FROM v_place GROUP BY 1) USING (city)", V.PLACES),
-    "cluster_medoid": V.with_views(f"SELECT city, category, m.place_id, m.total_m FROM (SELECT city, category, min(struct_pack(total_m := total_m, place_id := place_id)) AS m FROM (SELECT a.city, a.category, a.place_id, round(sum({_D}), 3) AS total_m FROM v_place a JOIN v_place b ON a.city = b.city AND a.category = b.category WHERE a.place_id < 1000 AND b.place_id < 1000 GROUP BY 1, 2, 3) GROUP BY 1, 2)", V.PLACES),
+    "cluster_medoid": V.with_views(f"SELECT city, category, m.place_id, m.total_m FROM (SELECT city, category, min(struct_pack(total_m := total_m, place_id := place_id)) AS m FROM (SELECT a.city, a.category, a.place_id, round(sum({_D}), 3) AS total_m FROM v_place a JOIN v_place b ON a.city = b.city AND a.category = b.category GROUP BY 1, 2, 3) GROUP BY 1, 2)", V.PLACES),
     "day_shortlist": V.with_views(f"SELECT city, place_id, worth, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY worth DESC, place_id) AS rank FROM (SELECT city, place_id, round(score - 4.0 * {distance_sql('lat', 'lng', '40.4168::DOUBLE', '(-3.7038)::DOUBLE')} / 1000.0, 5)::DOUBLE AS worth FROM v_full)) WHERE rank <= 14", *ALL),
     "meal_quota": V.with_views(
         """SELECT city, place_id, meal FROM (SELECT *, sum(CASE WHEN rank <= 6 AND meal THEN 1 ELSE 0 END) OVER (PARTITION BY city) AS present FROM (

@@ -22,28 +22,28 @@ def records(spark, monkeypatch):
     return rows
 
 
-def test_block_pairs_whole(spark, records):
+def test_block_pairs(spark, records):
     grams = {r[0]: {("  " + w + " ")[i : i + 3] for w in r[1].split() for i in range(len(w) + 1)} for r in records}
     alike = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
     expected = {(a[0], b[0]) for a in records for b in records if a[0] < b[0] and a[2] == b[2] and (metres(a, b) <= C.BLOCK_RADIUS_M or alike(a[0], b[0]) > 0.35)}
-    got = [(r["left_id"], r["right_id"]) for r in planning.block_pairs_whole(spark, SF).collect()]
+    got = [(r["left_id"], r["right_id"]) for r in planning.block_pairs(spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == expected
 
 
-def test_cluster_medoid_whole(spark, records):
+def test_cluster_medoid(spark, records):
     groups = defaultdict(list)
     for r in records:
         groups[r[2], r[5]].append(r)
     expected = {k: min((round(sum(metres(a, b) for b in g), 3), a[0]) for a in g)[::-1] for k, g in groups.items()}
-    got = {(r["city"], r["category"]): (r["place_id"], r["total_m"]) for r in planning.cluster_medoid_whole(spark, SF).collect()}
+    got = {(r["city"], r["category"]): (r["place_id"], r["total_m"]) for r in planning.cluster_medoid(spark, SF).collect()}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in expected.items()}
     assert all(got[k][1] == pytest.approx(v[1], abs=0.01) for k, v in expected.items())
 
 
-def test_travel_matrix_pool(spark, records, monkeypatch):
+def test_travel_matrix(spark, records, monkeypatch):
     monkeypatch.setattr(planning, "_pool", lambda *_: planning.V.places().where("city = 'city-1'"))
     pool = [r for r in records if r[2] == "city-1"]
-    got = {(r["i"], r["j"]): r["seconds"] for r in planning.travel_matrix_pool(spark, SF).collect()}
+    got = {(r["i"], r["j"]): r["seconds"] for r in planning.travel_matrix(spark, SF).collect()}
     street = lambda a, b: metres(a, b) * C.DETOUR
     seconds = lambda a, b: 0.0 if a is b else street(a, b) / C.SPEED_MPS["transit"] + (C.TRANSIT_OVERHEAD_S if street(a, b) > C.TRANSIT_FROM_M else 0)
     assert len(got) == len(pool) ** 2 and all(got[a[0], b[0]] == pytest.approx(seconds(a, b), abs=0.01) for a in pool for b in pool)
