@@ -168,7 +168,7 @@ UNION ALL SELECT 'reddit', 'r' || lead, name, NULL, n, CAST(mention_count AS BIG
         _GRID,
     ),
     "map_feed": """SELECT 'p' || p_partkey AS source_place_id, p_name AS name, ['nightlife', 'cafe', 'museum', 'attraction', 'hotel', 'restaurant', 'other'][p_partkey % 7 + 1] AS category, [1, 2, 3, 4, NULL][p_partkey % 5 + 1] AS price_tier,
-  p_partkey % 50 / 10.0::DOUBLE AS rating, CAST(p_partkey % 900 AS INTEGER) AS review_count, CASE WHEN p_partkey % 2 = 0 THEN 'w' || p_partkey ELSE 'm' || p_partkey END AS url, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS n_evidence, '09:05' AS opens, CASE WHEN p_partkey % 11 = 0 THEN '23:59' ELSE '18:30' END AS closes
+  p_partkey % 50 / 10.0::DOUBLE AS rating, CAST(p_partkey % 900 AS INTEGER) AS review_count, CASE WHEN p_partkey % 2 = 0 THEN 'w' || p_partkey ELSE 'm' || p_partkey END AS url, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS n_evidence, CASE WHEN p_partkey % 11 = 0 THEN '00:00' ELSE '09:05' END AS opens, CASE WHEN p_partkey % 11 = 0 THEN '23:59' ELSE '18:30' END AS closes
 FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 17 <> 0""",
     "listing_feed": """SELECT 'b' || p_partkey AS source_place_id, p_name AS name, ['nightlife', 'bar', 'cafe', 'museum', 'hotel', 'restaurant', 'other'][p_partkey % 7 + 1] AS category, CASE WHEN p_partkey % 6 BETWEEN 1 AND 4 THEN CAST(p_partkey % 6 AS INTEGER) END AS price_tier,
   CASE WHEN p_partkey % 3 = 1 THEN 'Outer' END AS neighborhood, CASE WHEN p_partkey % 4 <> 0 THEN 'One, No ' || p_partkey END AS address, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS n_evidence, CASE WHEN p_partkey % 11 <> 0 THEN '09:30' END AS opens
