@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.llm.common import mix, shingle_sets
-from placeweave.operators.graph import connected_components, cut, fresh_path, remove, skew_join
+from placeweave.operators.graph import connected_components, cut, few, fresh_path, release, remove, skew_join
 
 #: Counters of the sketch of shingle counts, and the pieces in which its parts are added up.
 SKETCH, PIECES = 1 << 20, 64
@@ -175,17 +175,25 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     path = fresh_path(spark, "prefixes")
     prefixes(docs, k, num, den, shingle_counts(docs, k)).write.parquet(path)
-    rows = spark.read.parquet(path)
+    found = spark.read.parquet(path)
+    groups = found.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "p", "q").agg(F.min("doc_id").alias("gid"), F.any_value("prefix").alias("prefix"), F.any_value("bitmap").alias("bitmap"), ((F.min("f") == F.max("f")) & (F.min("g") == F.max("g"))).alias("single"))
+    # prefixes and bitmaps are the bulk: they stay once a group, and rows keep their numbers
+    groups_path, rows_path = fresh_path(spark, "groups"), fresh_path(spark, "rows")
+    groups.write.parquet(groups_path)
+    found.select("doc_id", "n", "f", "g", "p", "q").write.parquet(rows_path)
+    remove(spark, path)
+    release(spark)
+    groups, rows = spark.read.parquet(groups_path), spark.read.parquet(rows_path)
     graph = rows.where("n > 0 AND doc_id IS NOT NULL")
     sets = graph.groupBy("f", "g", "n", "p", "q").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    groups = graph.groupBy("n", "p", "q").agg(F.min("doc_id").alias("gid"), F.any_value("prefix").alias("prefix"), F.any_value("bitmap").alias("bitmap"), ((F.min("f") == F.max("f")) & (F.min("g") == F.max("g"))).alias("single"))
 
     # sizes of a pair that links differ by a factor of den / num at most, so by one class
     size_class = F.floor(F.log(F.col("n")) / (1.0001 * math.log(den / num))).alias("class") if num < den else F.col("n").alias("class")
-    entries = groups.select("gid", "n", size_class, F.posexplode("prefix").alias("at", "shingle"))
+    entries = groups.select("gid", "n", F.posexplode("prefix").alias("at", "shingle"))
     hubs = entries.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1")
     shared_path, seats_path = fresh_path(spark, "shared"), fresh_path(spark, "seats")
-    skew_join(entries, hubs, "shingle").select("shingle", "gid", "n", "class", "at", "m").write.parquet(shared_path)
+    skew_join(entries, hubs, "shingle").select("shingle", "gid", "n", size_class, "at", "m").write.parquet(shared_path)
+    release(spark)
     shared = spark.read.parquet(shared_path)
     a = shared.where(F.col("m") <= SMALL).select("shingle", F.col("gid").alias("a"), F.col("n").alias("n1"), F.col("at").alias("i"))
     b = a.select(F.col("shingle").alias("other"), F.col("a").alias("b"), F.col("n1").alias("n2"), F.col("i").alias("j"))
@@ -198,6 +206,7 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     apart = F.aggregate(F.zip_with("a_map", "b_map", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     fits = ~(F.col("a_single") & F.col("b_single")) | similar(F.floor((F.col("n1") + F.col("n2") - apart) / 2))
     pairs = cut(mapped.where(fits).select("a", "b"))
+    release(spark)
 
     common = shared.where(F.col("m") > SMALL)
     first = cut(common.groupBy("shingle", "class").agg(F.min("gid").alias("hub")))
@@ -225,6 +234,7 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     within = members.groupBy("unit").agg(F.count("*").alias("m")).where("m > 1").select(F.col("unit").alias("x"), F.col("unit").alias("y"))
     seats(own, "gid").union(seats(within.union(crossed), "unit")).write.parquet(seats_path)
+    release(spark)
     seated = spark.read.parquet(seats_path)
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +244,7 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, 512), pa.array(found, pa.binary())], ["node", "members"])
 
     texts = docs.select(F.col("doc_id").alias("node"), "text").where("doc_id IS NOT NULL")
-    held = texts.join(seated.select("node").distinct(), "node", "left_semi").mapInArrow(as_sets, "node long, members binary")
+    held = texts.join(few(cut(seated.select("node").distinct())), "node", "left_semi").mapInArrow(as_sets, "node long, members binary")
     # a set of a unit meets each block of the other unit, or its own block and all others of its unit
     every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     inside = F.transform(every(F.col("blocks_x")), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
@@ -242,8 +252,9 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     cells = seated.join(held, "node").select("node", "copies", "kind", "x", "y", F.inline(F.when(F.col("x") == F.col("y"), inside).otherwise(across)), "members")
     found = cells.groupBy("kind", "x", "y", "i", "j").applyInArrow(_verify(num, den), "node long, root long, links long")
     found = cut(found)
-    for path in (shared_path, seats_path):
+    for path in (shared_path, seats_path, groups_path):
         remove(spark, path)
+    release(spark)
 
     versions = graph.join(sets.select("f", "g", "n", "rep"), ["f", "g", "n"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     same = versions.select("a", "b").union(versions.select("doc_id", "a"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,23 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over: it does so when the driver's garbage is collected, which may be never in a short run."""
+    for _ in range(2):  # events of the last job that are still under way hold its plan
+        time.sleep(0.4)
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+#: Ids that are broadcast, 8 bytes each; more are joined by a shuffle.
+FEW_IDS = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """ids, broadcast up to FEW_IDS: what is filtered by them, such as texts, is then not shuffled. ids should be cheap to read."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """left joined with right, which is aggregated by key: a hot key's rows of left can be split over tasks.
 
@@ -47,7 +66,8 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -
     and both sides get an exchange of their own, whose skewed partitions adaptive execution splits.
     """
     second = "_second_key"
-    return left.withColumn(second, F.xxhash64(key)).join(right.withColumn(second, F.xxhash64(key)), [key, second], how).drop(second)
+    derived = F.xxhash64(key).bitwiseAND(F.lit(1).cast("long"))  # one bit, so that it costs next to nothing in a shuffle
+    return left.withColumn(second, derived).join(right.withColumn(second, derived), [key, second], how).drop(second)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
