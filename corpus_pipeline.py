@@ -12,7 +12,7 @@ from placeweave.llm.language import keep_identified, train_on_documents
 from placeweave.llm.line_dedup import dedup_lines
 from placeweave.llm.pieces import encode_pieces
 from placeweave.llm.queries import vocabulary
-from placeweave.operators.graph import fresh_path, remove
+from placeweave.operators.graph import cut, few, fresh_path, release, remove
 
 
 #: Share of a document's words that its language must have. Mixed documents below it are rejected.
@@ -44,6 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts and rows without an id are linked with nothing and stay; rows that share the smallest id all stay.
     """
     others = jaccard_classes(docs, k=5, num=4, den=5).where("component_id <> doc_id").select("doc_id").distinct()
+    others = few(cut(others))
+    release(docs.sparkSession)
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 

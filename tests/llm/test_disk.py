@@ -6,6 +6,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
+import corpus_pipeline  # noqa: E402
 from placeweave.llm.jaccard_join import jaccard_classes  # noqa: E402
 
 
@@ -36,3 +37,10 @@ def test_jaccard_classes_do_not_shuffle_texts(spark, docs):
     rows, moved = shuffled_bytes(spark, lambda: jaccard_classes(docs, 4, 85, 100).collect())
     assert {r["doc_id"]: r["component_id"] for r in rows} == {i: i - i % 4 if i % 4 < 2 else i for i in range(120)}
     assert moved < 0.6 * size
+
+
+def test_near_duplicates_do_not_shuffle_texts(spark, docs):
+    size = docs.selectExpr("sum(octet_length(text))").first()[0]
+    rows, moved = shuffled_bytes(spark, lambda: corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert sorted(r["doc_id"] for r in rows) == [i for i in range(120) if i % 4 != 1]
+    assert moved < 0.6 * size
