@@ -9,6 +9,7 @@ from placeweave import views as V
 from placeweave.functions import hours as H
 from placeweave.functions import text as T
 from placeweave.operators import browse
+from placeweave.operators.graph import cut, spread
 from placeweave.plans import documents, ingest, routing
 from placeweave.sources import comments, feeds, mentions
 
@@ -19,7 +20,7 @@ _LAT, _LNG = "40.0D + ({id} % 200) * 0.005D", "-3.7D + CAST(floor({id} / 200) AS
 
 def grid_records(spark: SparkSession, sf: str) -> DataFrame:
     """Raw records of three feeds: places, most of them again in a second feed a few metres off, and mentions of names."""
-    part = V.table(spark, sf, "part").selectExpr(f"{_ID} AS id", "p_name", f"{_LAT.format(id=_ID)} AS lat", f"{_LNG.format(id=_ID)} AS lng")
+    part = spread(V.table(spark, sf, "part").select(_ID, "p_name")).selectExpr(f"{_ID} AS id", "p_name", f"{_LAT.format(id=_ID)} AS lat", f"{_LNG.format(id=_ID)} AS lng")
     common = ["'grid' AS city", "named_struct('payload', id, 'at', 0L) AS seq"]
     a = part.where("id % 3 <> 0").selectExpr("0 AS source_rank", "'google_places' AS source", "concat('g', id) AS source_place_id", "p_name AS name", "CASE WHEN id % 4 = 0 THEN 'other' ELSE 'museum' END AS category", "lat", "lng", "3.0D + (id % 5) * 0.25D AS rating", "id % 1000 AS review_count", "array(named_struct('text', concat('about ', p_name), 'url', CAST(NULL AS STRING), 'weight', 1.0D)) AS evidence", *common)
     b = part.where("id % 2 = 0").selectExpr("1 AS source_rank", "'yelp' AS source", "concat('y', id) AS source_place_id", "upper(p_name) AS name", "'restaurant' AS category", "lat + 0.0001D AS lat", "lng", "CAST(1 + id % 4 AS INT) AS price_tier", "2.0D + (id % 5) * 0.5D AS rating", "id % 77 AS review_count", "array(named_struct('text', concat(' ABOUT ', p_name), 'url', CAST(NULL AS STRING), 'weight', 1.0D)) AS evidence", *common)
@@ -46,7 +47,8 @@ def ingest_counters(spark: SparkSession, sf: str) -> DataFrame:
     """The batch twice: what was new first is an update then."""
     raw = grid_records(spark, sf)
     first = ingest.ingest(raw)
-    again = ingest.ingest(raw, first)
+    # the second run reads these many times
+    again = ingest.ingest(raw, ingest.Tables(cut(first.places), cut(first.signals), first.evidence, first.reviews))
     tell = lambda x, n: x.outcomes.groupBy("source", "decision").agg(F.count("*").alias("cnt")).withColumn("run", F.lit(n))
     return tell(first, 1).union(tell(again, 2).where("source <> 'reddit'"))
 
