@@ -28,48 +28,80 @@ from placeweave.llm.common import mix, shingle_sets
 from placeweave.operators.graph import connected_components, cut, few, fresh_path, release, remove, skew_join
 
 #: Counters of the sketch of shingle counts, and the pieces in which its parts are added up.
-SKETCH, PIECES = 1 << 20, 64
+SKETCH, PIECES = 1 << 23, 512
 #: Groups of a shingle that are paired one by one.
 SMALL = 32
-#: Bits of a set's bitmap, a multiple of 64.
-BITS = 2048
+#: Bits of a set's bitmap: a power of two from twice its size on, within these. With fewer bits than shingles, unlike sets look alike.
+LEAST_BITS, MOST_BITS = 256, 1 << 24
 #: Sets of a block; a task holds two blocks.
 BLOCK = 128
 
 
-def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
-    """Counts of shingles by the low bits of their hash, over all texts: an upper bound of each one's frequency."""
+def levels(counts: np.ndarray) -> np.ndarray:
+    """A byte for each count that rises with it: in steps of a hundredth of their median, or of one, and by eighths of an octave from 128 steps on."""
+    steps = counts / max(1.0, float(np.median(counts)) / 100)
+    return np.where(steps < 128, steps, np.minimum(255, 128 + 8 * np.log2(np.maximum(steps, 128) / 128))).astype(np.uint8)
+
+
+def shingle_levels(docs: DataFrame, k: int) -> np.ndarray:
+    """Levels of the counts of shingles by the low bits of their hash, over all texts: what is rare has a low one.
+
+    There are several million counters, so that the others of a counter don't hide over gigabytes which shingles are rare.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, n = np.zeros(SKETCH, np.int64), [], 0
+        total = np.zeros(SKETCH, np.int32)
         for batch in batches:
             for _, s in shingle_sets(batch.column(0), k):
-                held.append((s & np.uint64(SKETCH - 1)).astype(np.int32))
-                n += len(s)
-                if n >= SKETCH:
-                    total += np.bincount(np.concatenate(held), minlength=SKETCH)
-                    held, n = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=SKETCH)
-        parts = total.reshape(PIECES, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([zlib.compress(p.astype("<i8").tobytes(), 1) for p in parts], pa.binary())], ["piece", "counts"])
+                np.add.at(total, (s & np.uint64(SKETCH - 1)).astype(np.int64), np.int32(1))
+        parts = [zlib.compress(p.astype("<u1" if p.max() < 256 else "<u4").tobytes(), 1) for p in total.reshape(PIECES, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], ["piece", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(c.as_py()), "<i8") for c in group["counts"])
-        return pa.table([group["piece"][:1], pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["piece", "counts"])
+        total = np.zeros(SKETCH // PIECES, np.int64)
+        for c in group["counts"]:
+            part = zlib.decompress(c.as_py())
+            total += np.frombuffer(part, "<u1" if len(part) == len(total) else "<u4")
+        return pa.table([group["piece"][:1], pa.array([levels(total).tobytes()], pa.binary())], names=["piece", "levels"])
 
     parts = docs.select("text").mapInArrow(run, "piece int, counts binary")
-    out = np.zeros((PIECES, SKETCH // PIECES), np.int64)
-    for r in parts.groupBy("piece").applyInArrow(add, "piece int, counts binary").collect():  # PIECES rows of a fixed size
-        out[r["piece"]] = np.frombuffer(bytes(r["counts"]), "<i8")
-    return np.minimum(out.reshape(-1), 2**31 - 1).astype(np.int32)
+    out = np.zeros((PIECES, SKETCH // PIECES), np.uint8)
+    for r in parts.groupBy("piece").applyInArrow(add, "piece int, levels binary").collect():  # PIECES rows of a fixed size
+        out[r["piece"]] = np.frombuffer(bytes(r["levels"]), np.uint8)
+    return out.reshape(-1)
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def prefixes(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
+def bitmap_of(s: np.ndarray) -> np.ndarray:
+    """Which slots the hashes of a set fall into."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length()))
+    bits = np.zeros(size, bool)
+    bits[(s >> np.uint64(40)) & np.uint64(size - 1)] = True
+    return np.packbits(bits).view(np.int64)
+
+
+def differing(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
+    """Of each row, the bits that differ in two bitmaps, which as many shingles at least are not shared; a longer one is folded to the other's length."""
+    flat, first, size = [], [], []
+    for x in (a, b):
+        offsets = x.offsets.to_numpy()
+        flat.append(x.values.to_numpy().view(np.uint64))  # bits of a negative number are counted without its sign
+        first.append(offsets[:-1])
+        size.append(np.diff(offsets))
+    out = np.zeros(len(a), np.int64)
+    for m, n in {*zip(size[0].tolist(), size[1].tolist())}:
+        rows, least = np.flatnonzero((size[0] == m) & (size[1] == n)), min(m, n)
+        for at in range(0, len(rows), 256):
+            part = rows[at : at + 256]
+            x, y = (np.bitwise_or.reduce(flat[i][first[i][part][:, None] + np.arange(w)].reshape(len(part), -1, least), axis=1) for i, w in ((0, m), (1, n)))
+            out[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def prefixes(docs: DataFrame, k: int, num: int, den: int, rarity: np.ndarray) -> DataFrame:
     """(doc_id, n, f, g, p, q, prefix, bitmap): size, fingerprints of the set and of the prefix, the prefix, and which slots of a bitmap the set's hashes fall into, of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,18 +113,17 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray) ->
                 ids = batch.column(0).take(pa.array(at, pa.int64()))
                 lengths = np.cumsum([0, *map(len, lists)])
                 prefix = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(lists).astype(np.int64) if lists else [], pa.int64()))
-                return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array(f[:, i], pa.int64()) for i in range(4)), prefix, pa.array(maps, pa.list_(pa.int64()))], ["doc_id", "n", "f", "g", "p", "q", "prefix", "bitmap"])
+                bitmap = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, maps)]), pa.int32()), pa.array(np.concatenate(maps), pa.int64()))
+                return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array(f[:, i], pa.int64()) for i in range(4)), prefix, bitmap], ["doc_id", "n", "f", "g", "p", "q", "prefix", "bitmap"])
 
             for row, s in shingle_sets(batch.column(1), k):
-                head = s[np.lexsort((s, counts[s & np.uint64(SKETCH - 1)]))[: prefix_length(len(s), num, den)]] if len(s) else s
+                head = s[np.lexsort((s, rarity[s & np.uint64(SKETCH - 1)]))[: prefix_length(len(s), num, den)]] if len(s) else s
                 second = lambda x: mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
                 at.append(row)
                 n.append(len(s))
                 prints.append((s.sum(dtype=np.uint64), second(s), head.sum(dtype=np.uint64), second(head)))
                 lists.append(head)
-                bits = np.zeros(BITS, bool)
-                bits[(s >> np.uint64(40)) & np.uint64(BITS - 1)] = True
-                maps.append(np.packbits(bits).view(np.int64))
+                maps.append(bitmap_of(s))
                 if len(at) >= 512:
                     yield out()
                     at, n, prints, lists, maps = [], [], [], [], []
@@ -174,7 +205,7 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """
     spark = docs.sparkSession
     path = fresh_path(spark, "prefixes")
-    prefixes(docs, k, num, den, shingle_counts(docs, k)).write.parquet(path)
+    prefixes(docs, k, num, den, shingle_levels(docs, k)).write.parquet(path)
     found = spark.read.parquet(path)
     groups = found.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "p", "q").agg(F.min("doc_id").alias("gid"), F.any_value("prefix").alias("prefix"), F.any_value("bitmap").alias("bitmap"), ((F.min("f") == F.max("f")) & (F.min("g") == F.max("g"))).alias("single"))
     # prefixes and bitmaps are the bulk: they stay once a group, and rows keep their numbers
@@ -203,9 +234,15 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     pairs = a.join(b, (F.col("shingle") == F.col("other")) & (F.col("a") < F.col("b")) & similar(most)).select("a", "b", "n1", "n2").distinct()
     map_of = lambda x: groups.select(F.col("gid").alias(x), F.col("bitmap").alias(f"{x}_map"), F.col("single").alias(f"{x}_single"))
     mapped = pairs.join(map_of("a"), "a").join(map_of("b"), "b")
-    apart = F.aggregate(F.zip_with("a_map", "b_map", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    fits = ~(F.col("a_single") & F.col("b_single")) | similar(F.floor((F.col("n1") + F.col("n2") - apart) / 2))
-    pairs = cut(mapped.where(fits).select("a", "b"))
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n1, n2, whole_a, whole_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n1", "n2", "a_single", "b_single"))
+            most = (n1 + n2 - differing(batch.column("a_map"), batch.column("b_map"))) // 2
+            ok = pa.array(~(whole_a & whole_b) | ((num + den) * most >= num * (n1 + n2)))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
+
+    pairs = cut(mapped.mapInArrow(fitting, "a long, b long"))
     release(spark)
 
     common = shared.where(F.col("m") > SMALL)

@@ -1,9 +1,11 @@
+import functools
 import random
 import re
 import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +122,36 @@ def test_jaccard_of_very_common_shingles(spark, monkeypatch):
     assert got == brute_classes(rows, 3, 85, 100)
 
 
+def test_bitmaps_tell_large_sets_apart():
+    rng = np.random.default_rng(4)
+    for n, m in ((3, 3), (100, 120), (3000, 3000), (16000, 18000), (300, 3000)):
+        a, b = (np.unique(rng.integers(0, 2**64, x, np.uint64)) for x in (n, m))
+        near = np.concatenate([a[: n - n // 20], b[: n // 20]])
+        maps = [pa.array([jaccard_join.bitmap_of(x) for x in y], pa.list_(pa.int64())) for y in ([a] * 3, [b, near, a])]
+        unlike, alike, same = jaccard_join.differing(*maps)
+        assert same == 0 and alike <= 2 * (n // 20) and unlike <= n + m
+        # 20 * |both| >= 17 * |either| is not ruled out for the near copy, and is for the other
+        assert 37 * ((2 * n - alike) // 2) >= 17 * 2 * n and 37 * ((n + m - unlike) // 2) < 17 * (n + m)
+
+
+def test_rare_shingles_have_low_levels(spark):
+    rows = [(i, " ".join(f"w{(i * 7919 + j) % 9973 if j > 40 else j}x{i if j > 40 else 0}" for j in range(2000))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = jaccard_join.shingle_levels(docs, 4)
+    sets = [s for _, s in common.shingle_sets(pa.array([t for _, t in rows[:20]]), 4)]
+    often = functools.reduce(np.intersect1d, sets)
+    rare = np.concatenate([np.setdiff1d(s, often) for s in sets])
+    level = lambda s: found[s & np.uint64(jaccard_join.SKETCH - 1)]
+    assert len(often) >= 30 and level(often).min() > 100 and np.quantile(level(rare), 0.95) <= 3
+
+
+def test_levels_rise_with_counts():
+    for scale in (1, 60, 3000):
+        counts = np.sort(np.concatenate([np.random.default_rng(2).poisson(scale, 5000), [10**4, 10**5, 10**6, 10**9]]))
+        got = jaccard_join.levels(counts).astype(int)
+        assert (np.diff(got) >= 0).all() and got[-3] > got[2500]
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(1, "a b c d e"), (1, "v w x y z"), (2, "v w x y z"), (3, "a b c d e"), (None, "a b c d e"), (3, "a b c d e")]
     got = sorted((repr(r["doc_id"]), r["component_id"]) for r in jaccard_join.jaccard_classes(table(spark, rows), 4, 85, 100).collect())
