@@ -44,3 +44,17 @@ def test_near_duplicates_do_not_shuffle_texts(spark, docs):
     rows, moved = shuffled_bytes(spark, lambda: corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert sorted(r["doc_id"] for r in rows) == [i for i in range(120) if i % 4 != 1]
     assert moved < 0.6 * size
+
+
+@pytest.mark.parametrize("stage", [True, False])
+def test_large_unlike_sets_are_not_verified(spark, docs, stage):
+    """Each two of the texts share one passage of eleven, so no shingle is rare and all pairs are candidates."""
+    rng = random.Random(9)
+    passage = {(i, j): " ".join(f"{rng.getrandbits(120):x}" for _ in range(500)) for i in range(12) for j in range(i + 1, 12)}
+    texts = [" ".join(passage[min(i, j), max(i, j)] for j in range(12) if j != i) for i in range(12)]
+    table = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4).cache()
+    table.count()
+    run = (lambda: corpus_pipeline.near_duplicates(spark, table, "").collect()) if stage else (lambda: jaccard_classes(table, 4, 85, 100).collect())
+    rows, moved = shuffled_bytes(spark, run)
+    assert sorted(r["doc_id"] for r in rows) == [*range(12)]
+    assert moved < sum(map(len, texts))
